@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import canon, docpairs, handwritten
 from quarry.llm import mix as mixing
 from quarry.llm import pack as packing
 from quarry.llm import quantiles, split, tokens
@@ -18,6 +19,19 @@ PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 NANOSECONDS_FROM = 1_000_000
 
 
+def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf_dir, "chunks"), *split.limit_of(table(spark, sf_dir, "size_limits"), "chunk_lines"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documented(spark, sf_dir).select("repo_id", "file_path", "symbol_name", "start_line").distinct()
+
+
+def p1_code_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = split.limit_of(table(spark, sf_dir, "size_limits"), "chunk_lines")
+    return docpairs.code_pairs(table(spark, sf_dir, "chunks"), _documented(spark, sf_dir), *windows)
+
+
 def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo_id, day, latency_ms`` of every distinct eval item; impossible values are null, nanoseconds converted."""
     items = table(spark, sf_dir, "eval_items").select("eval_id", "item_no", "latency_ms")
@@ -82,6 +96,25 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE length(chunk_text) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk_chars')"
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.copies(canon.content_keys(table(spark, sf_dir, "chunks")))
+
+
+def p4_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.contents(canon.content_keys(table(spark, sf_dir, "chunks"))).select(F.hex("content_hash").alias("content_hash"), "id", "n_copies", "n_rows")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.classified_files(table(spark, sf_dir, "chunks")).where(F.col("origin").isNotNull()).select("repo_id", "file_path")
+
+
+def p5_file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.classified_files(table(spark, sf_dir, "chunks")).select(
+        "repo_id", "file_path", "language", F.coalesce("origin", F.lit("hand-written")).alias("origin"), "lines", "max_line", "n_shapes",
+        *[F.round(c, 6).alias(c) for c in ("mean_line", "space_share", "alnum_share", "number_share", "encoded_share")],
+    )
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.withColumn("n_tokens", tokens.n_tokens(F.col("text")))
@@ -121,7 +154,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_latency_percentiles_daily, p2_latency_percentiles, p3_found, p3_pieces,
+        p1_found, p1_code_descriptions, p2_latency_percentiles_daily, p2_latency_percentiles, p3_found, p3_pieces,
+        p4_found, p4_contents, p5_found, p5_file_origins,
         p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares,
     )
 }
