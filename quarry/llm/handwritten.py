@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 #: long_line, mean_line and spaces: a file is minified whose longest line and mean line are at least so long, with
 #: at most this share of white space. numbers and encoded: it is bulk data from this share of number literals or
 #: encoded runs in its visible characters on. shapes and lines: it is generated or bulk data if at least ``lines``
-#: lines have at most ``shapes`` different shapes. bulk: fewer characters than this are never bulk data.
+#: lines have at most ``shapes`` different shapes, five lines or more to a shape. bulk: fewer characters than this are never bulk data.
 THRESHOLDS: dict[str, dict[str, float | None]] = {
-    "*": {"long_line": 500, "mean_line": 200, "spaces": 0.10, "numbers": 0.35, "encoded": 0.35, "shapes": 7, "lines": 15, "bulk": 800},
-    "java": {"shapes": 8},
-    "go": {"shapes": 8},
+    "*": {"long_line": 500, "mean_line": 200, "spaces": 0.10, "numbers": 0.35, "encoded": 0.35, "shapes": 8, "lines": 15, "bulk": 800},
     "json": {"long_line": None, "numbers": 0.35, "encoded": 0.25, "shapes": 5, "lines": 20},
     "yaml": {"long_line": None, "numbers": 0.45, "encoded": 0.25, "shapes": 0, "lines": 20},
     "markdown": {"long_line": None, "numbers": None, "encoded": None, "shapes": 0},
@@ -127,7 +125,7 @@ def classified_files(chunks: DataFrame) -> DataFrame:
     minified = path.rlike(MINIFIED_NAMES) | (
         (F.col("max_line") >= _threshold("long_line")) & (F.col("mean_line") >= _threshold("mean_line")) & (1 - F.col("visible") / F.col("chars") <= _threshold("spaces"))
     )
-    repetitive = (F.col("lines") >= _threshold("lines")) & (F.col("n_shapes") <= _threshold("shapes"))
+    repetitive = (F.col("lines") >= _threshold("lines")) & (F.col("n_shapes") <= _threshold("shapes")) & (F.col("n_shapes") * 5 <= F.col("lines"))
     dense = (F.col("number_share") >= _threshold("numbers")) | (F.col("encoded_share") >= _threshold("encoded"))
     data = (F.col("chars") >= _threshold("bulk")) & dense
     return file_statistics(chunks).withColumn(
