@@ -27,7 +27,7 @@ THRESHOLDS: dict[str, dict[str, float | None]] = {
 #: Folders that hold copies of outside packages.
 VENDOR_FOLDERS = (
     "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "3rd-party",
-    "node_modules", "bower_components", "deps", "extern", "external", "externals", "contrib/ext", "Godeps", "Pods", "site-packages",
+    "node_modules", "bower_components", "deps", "extern", "external", "externals", "contrib/ext", "assets/lib", "static/plugins", "libs", "Godeps", "Pods", "site-packages",
 )
 #: Names of dependency locks, and endings that only tools write.
 LOCK_NAMES = r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|cargo\.lock|gemfile\.lock|composer\.lock|poetry\.lock|pipfile\.lock|go\.sum|[^/]*[-_.]lock\.(?:json|ya?ml|toml)|[^/]*[-_.]lock)$"
