@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import canon, docpairs, handwritten
 from quarry.llm import mix as mixing
 from quarry.llm import pack as packing
-from quarry.llm import quantiles, split, tokens
+from quarry.llm import pii, quantiles, split, tokens
 from quarry.plans.lineage import cut_lineage
 from quarry.session import table
 
@@ -151,12 +151,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "value").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.redacted(docs, pii.personal_data(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_code_descriptions, p2_latency_percentiles_daily, p2_latency_percentiles, p3_found, p3_pieces,
         p4_found, p4_contents, p5_found, p5_file_origins,
-        p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares,
+        p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares, p8_found, p8_redacted,
     )
 }
 
