@@ -155,11 +155,14 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .withColumn("is_long", F.lit(False))
         .select(*chosen)
     )
+    # within one run of capitalized words: from the left, each name that begins after the one before has ended
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    apart = F.aggregate("all", none, lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["stop"]), F.array_append(kept, x)).otherwise(kept))
     names = (
         by_given.drop("tail").unionByName(by_initial)
         .groupBy("doc_id", "grp")
-        .agg(F.min(F.struct("start", "stop", "value")).alias("b"))
-        .select("doc_id", F.lit("name").alias("pii_type"), "b.start", "b.stop", "b.value")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value"))).alias("all"))
+        .select("doc_id", F.lit("name").alias("pii_type"), F.inline(apart))
     )
     return emails.unionByName(others).unionByName(names)
 

@@ -24,10 +24,14 @@ EMAILS = (
 
 #: Words between a given and a family name.
 PARTICLES = frozenset("van von de del della der den di da dos das do du la le las los ter ten zu zum zur af av bin ibn al el y e".split())
-_TOKEN = r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*"
-_SEQUENCE = re.compile(rf"(?<![\w@/#$.'’-])(?:[^\W\d_]\.|{_TOKEN})(?:[  ](?:[^\W\d_]\.|{_TOKEN}))*(?![\w@])")
-_REVERSED = re.compile(rf"(?:(?<=\n)|(?<=^)|(?<=[\"|;])|(?<=[\"|;] ))((?:{_TOKEN} ){{0,3}}{_TOKEN}), ({_TOKEN}(?: (?:[^\W\d_]\.|{_TOKEN}))?)(?=[ ]*(?:\n|$|[\"|;]))")
-_CAPITAL = re.compile(r"[^\W\d_]")
+_UPPER = "".join(c for c in map(chr, range(0x250)) if c.isupper())
+_PARTICLE = "|".join(sorted(PARTICLES | {p.upper() for p in PARTICLES} | {p.title() for p in PARTICLES}))
+_NAMED = rf"[{_UPPER}](?:\.|[^\W\d_]*(?:['’‑-][^\W\d_]+)*)"
+_SEQUENCE = re.compile(rf"(?<![\w@/#$.'’-]){_NAMED}(?:(?:[ \u00a0](?:{'|'.join(sorted(PARTICLES))}))*[ \u00a0]{_NAMED})+(?![\w@])")
+_WORD = rf"[{_UPPER}][^\W\d_]+(?:['’‑-][^\W\d_]+)*|[{_UPPER}]['’][^\W\d_]+(?:['’‑-][^\W\d_]+)*"
+_REVERSED = re.compile(
+    rf"(?<![\w@/#$.'’-])((?:(?:{_PARTICLE})[ ]){{0,3}}(?:{_WORD})),[ ]((?:{_WORD})(?:[ ][{_UPPER}]\.|[ ](?:{_WORD})(?=[ ]*(?:\n|$|[\"|;<])))?)(?![\w@])(?![ ](?:(?:{_PARTICLE})[ ])*[{_UPPER}])"
+)
 
 #: A number-like run: groups of digits, with up to two capitals beside them, and the separators of phone and identity numbers.
 _GROUP = r"(?:\(\d{1,5}\)|[A-Z]{0,2}\d+[A-Z]?)"
@@ -130,7 +134,7 @@ def _name_rows(text: str, emails: list[tuple[int, int, str]]) -> list[tuple]:
                 add(m.start(), given, full, at, words[first][0] + len(name), None, None, None)
     for m in _REVERSED.finditer(text):
         family, given = m.group(1), m.group(2)
-        if _is_capital(given) and _is_capital(family.split(" ")[-1]):
+        if fold(family) not in PARTICLES:
             add(m.start(), given.split(" ")[0], family, m.start(1), m.end(2), None, None, None)
     return rows
 
@@ -155,7 +159,7 @@ def scan(text: str) -> list[tuple]:
     for m in _NUMBER.finditer(text):
         value = m.group()
         digits = sum(map(str.isdigit, value))
-        if not 7 <= digits <= 15 or re.fullmatch(r"\d{7}|\d+[.]\d+(?:[.]\d+)?|\d{4}[-./]\d\d?[-./]\d\d?", value):
+        if not 7 - (value[:2].isalpha()) <= digits <= 15 or re.fullmatch(r"\d{7}|\d+[.]\d+|\d{4}[-./]\d\d?[-./]\d\d?", value):
             continue
         kind = shape(value)
         seed = "phone" if value[0] == "+" and digits >= 9 else "id_number" if _SEED_SHAPES.fullmatch(kind) else None
@@ -163,7 +167,7 @@ def scan(text: str) -> list[tuple]:
     for pattern in (ADDRESS_EN, ADDRESS_FR):
         for m in pattern.finditer(text):
             end = m.end()
-            if pattern is ADDRESS_EN and text[end - 1] == "." and not re.search(r"\b(?:St|Rd|Ave|Ln|Ct|Sq|Ter|Blvd|Cres)\.$", m.group()):
+            if pattern is ADDRESS_EN and text[end - 1] == "." and not m.group().endswith("St."):
                 end -= 1
             rows.append(("address", m.start(), m.start(), end, None, fold(m.group("s")), None, None, None, False, contexts(text, m.start(), end), "address"))
     for m in ADDRESS_AFTER.finditer(text):
