@@ -1,14 +1,388 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core; their SQL is in ``quarry.sql``."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry import sql
+from quarry.functions import ids, text
+from quarry.operators import answers, chunking, evaluation, guard, relevance, tokens, vectors
+from quarry.plans import retrieval
+from quarry.session import table
+from quarry.sources import tables, trees
+from quarry.streaming import requests as streams
 
 FLAGSHIP = "pip4_hybrid_retrieval"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERY = ["repo_id", "question"]
+
+
+def registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct eval item; repeated rows are exact copies."""
+    return table(spark, sf_dir, "eval_items").dropDuplicates(["eval_id", "item_no"])
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "evals").dropDuplicates(["eval_id"])
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: the questions of eval items whose number is divisible by 20, each within its repository."""
+    items = table(spark, sf_dir, "eval_items").where(F.col("item_no") % 20 == 0).select("eval_id", "question")
+    runs = table(spark, sf_dir, "evals").select("eval_id", "repo_id")
+    return items.join(runs, "eval_id").where(F.col("repo_id").isNotNull() & F.col("question").isNotNull()).select(*QUERY).distinct()
+
+
+def _md5(c: Column) -> Column:
+    return F.md5(c)
+
+
+# --- text primitives
+
+
+@registered
+def str1_raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _chunks(spark, sf_dir).select("id", F.explode(text.raw_tokens(F.col("chunk_text"))).alias("token"))
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_chunks"))
+
+
+@registered
+def str2_code_token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = retrieval.documents(_chunks(spark, sf_dir))
+    counts = tokens.token_counts(docs, ["repo_id", "id"], {"chunk_text": 1})
+    return counts.groupBy("repo_id", "token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+@registered
+def str3_identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _chunks(spark, sf_dir).where(F.col("symbol_name").isNotNull()).select("symbol_name").distinct()
+    return names.select("symbol_name", F.array_join(F.array_sort(text.identifier_parts(F.col("symbol_name"))), " ").alias("parts"))
+
+
+@registered
+def str4_normalized_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _chunks(spark, sf_dir).where(F.col("symbol_name").isNotNull())
+    return named.groupBy(text.normalized_identifier(F.col("symbol_name")).alias("identifier")).agg(F.countDistinct("symbol_name").alias("spellings"), F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def str8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.lines_of(F.col("chunk_text"))
+    longest = F.coalesce(F.array_max(F.transform(rows, lambda x: F.char_length(x))), F.lit(0))
+    return _chunks(spark, sf_dir).select("id", F.size(rows).alias("n_lines"), longest.alias("longest")).distinct()
+
+
+@registered
+def str10_chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("id", text.summary(F.col("chunk_text")).alias("summary")).distinct()
+
+
+@registered
+def str9_markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _chunks(spark, sf_dir).where(F.col("language") == "markdown").select("repo_id", "file_path", F.explode(text.filled_lines(F.col("chunk_text"))).alias("line"))
+    return lines.where(F.col("line").startswith("#")).select("repo_id", "file_path", text.without_markdown(F.col("line")).alias("heading")).distinct()
+
+
+# --- sources and filters
+
+
+@registered
+def prj5_file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _chunks(spark, sf_dir).select("repo_id", "file_path", "language").distinct()
+    return files.select("repo_id", "file_path", trees.language(F.col("file_path")).alias("by_suffix"), "language")
+
+
+@registered
+def flt1_supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = retrieval.documents(_chunks(spark, sf_dir)).groupBy("repo_id", "file_path").agg(F.sum(F.char_length("chunk_text")).alias("size"))
+    path = F.col("file_path")
+    return sizes.select("repo_id", "file_path", trees.pruned(path).alias("pruned"), text.suffix(path).alias("suffix"), trees.supported(path, F.col("size"), 20_000, 5_000).alias("supported"))
+
+
+@registered
+def flt6_printable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode("chunk_text", "UTF-8")
+    return _chunks(spark, sf_dir).select("id", F.round(trees.printable_share(content), 6).alias("printable"), trees.is_binary(content).alias("binary")).distinct()
+
+
+@registered
+def prj4_repo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "repos").select("repo_url", "branch", ids.repo_id(F.col("repo_url"), F.col("branch")).alias("built_id")).distinct()
+
+
+@registered
+def prj3_chunk_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = ids.chunk_hash(F.col("chunk_text"))
+    built = ids.chunk_id(F.col("repo_id"), F.col("file_path"), F.col("start_line"), F.col("end_line"), digest)
+    return _chunks(spark, sf_dir).select("id", (digest == F.col("chunk_hash")).alias("hash_fits"), (built == F.col("id")).alias("id_fits")).distinct()
+
+
+@registered
+def src7_chunks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk rows numbered by path and line within each file, as they are listed."""
+    docs = retrieval.documents(_chunks(spark, sf_dir)).select("repo_id", "file_path", "start_line", "end_line", "id")
+    return docs.withColumn("seq", F.row_number().over(Window.partitionBy("repo_id", "file_path").orderBy("start_line", "end_line", "id")))
+
+
+@registered
+def src10_latest_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = tables.current(_runs(spark, sf_dir).select("eval_id", "repo_id", "created_at", "mrr"), ["repo_id"], "created_at")
+    return latest.select("repo_id", "eval_id", "mrr")
+
+
+@registered
+def snk1_current_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repository table as upserts of its rows in order of time leave it."""
+    rows = table(spark, sf_dir, "repos").select("repo_id", "repo_url", "branch", "commit_sha", "indexed_at", "files_indexed", "chunks_indexed")
+    return tables.current(rows, ["repo_id"], "indexed_at").drop("indexed_at")
+
+
+@registered
+def agg12_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).groupBy("repo_id").agg(F.countDistinct("file_path").alias("files"), F.countDistinct("id").alias("chunks"))
+
+
+# --- chunking
+
+
+@registered
+def win4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = chunking.line_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 8, 2)
+    return windows.select("doc_id", "start_line", "end_line", _md5(F.col("window_text")).alias("digest"))
+
+
+@registered
+def agg10_deduplicated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir).select("id", "created_at", "commit_sha", "symbol_type")
+    return chunking.latest_by_key(rows, ["id"], ["created_at"]).drop("created_at")
+
+
+@registered
+def win6_uncovered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = _chunks(spark, sf_dir).where(F.col("symbol_name").isNotNull()).select("repo_id", "file_path", "start_line", "end_line").distinct()
+    return chunking.uncovered(symbols, ["repo_id", "file_path"], "start_line", "end_line")
+
+
+@registered
+def win5_block_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.documents(_chunks(spark, sf_dir).where(F.col("language").isin("typescript", "java", "go", "cpp", "javascript")))
+    return chunking.block_ends(rows, ["id"], "chunk_text")
+
+
+@registered
+def sym2_script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.documents(_chunks(spark, sf_dir).where(F.col("language").isin(*chunking.SCRIPT_LANGUAGES)))
+    return chunking.script_symbols(rows, ["id"], "chunk_text")
+
+
+@registered
+def sym1_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.documents(_chunks(spark, sf_dir).where(F.col("language") == "python"))
+    return chunking.python_symbols(rows, ["id"], "chunk_text")
+
+
+# --- embeddings
+
+
+@registered
+def agg8_hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = _chunks(spark, sf_dir).select("chunk_hash", "chunk_text").dropDuplicates(["chunk_hash"])
+    sparse = vectors.hash_embedding(distinct, ["chunk_hash"], "chunk_text")
+    return sparse.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.col("v") * F.col("v")).alias("sumsq"), F.sum(F.col("ix") * F.col("v")).alias("moment"))
+
+
+@registered
+def jn2_missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    cache = chunks.where(F.col("embedding").isNotNull()).select("chunk_hash").distinct()
+    return vectors.missing_from_cache(chunks.select("chunk_hash"), cache).select("chunk_hash")
+
+
+@registered
+def agg25_cache_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository: distinct hashes, those with a cached vector, and those to embed."""
+    chunks = _chunks(spark, sf_dir)
+    cache = chunks.where(F.col("embedding").isNotNull()).groupBy("chunk_hash").agg(F.lit(True).alias("cached"))
+    hashes = chunks.select("repo_id", "chunk_hash").distinct().join(cache, "chunk_hash", "left")
+    return hashes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("hashes"), F.count("cached").alias("hits"), F.count_if(F.col("cached").isNull()).alias("embedded"))
+
+
+@registered
+def srt4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vectors.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+# --- retrieval
+
+
+@registered
+def agg1_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = retrieval.documents(_chunks(spark, sf_dir))
+    counts = tokens.token_counts(docs, ["repo_id", "id"], tokens.FIELD_WEIGHTS)
+    return tokens.corpus_stats(docs, counts, "repo_id", "id").select("repo_id", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _leg(found: DataFrame) -> DataFrame:
+    return found.select("repo_id", _md5(F.col("question")).alias("question_hash"), "id", F.round("score", 6).alias("score"), "rank")
+
+
+@registered
+def pip5_bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leg(retrieval.bm25_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10))
+
+
+@registered
+def pip5_bm25_okapi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leg(retrieval.bm25_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10, "okapi"))
+
+
+@registered
+def jn5_hash_cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leg(retrieval.vector_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10))
+
+
+@registered
+def agg5_fused_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs fused and limited to two chunks a file, without reranking."""
+    return _leg(retrieval.retrieve(_chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", 5, rerank=False))
+
+
+@registered
+def nlp1_question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _items(spark, sf_dir).where(F.col("question").isNotNull()).select("question").distinct()
+    flags = [f"asks_{x}" for x in ("readme", "license", "support", "features", "definition", "configuration", "schema", "class", "function", "method", "documentation")]
+    return relevance.analyzed(asked).select(_md5(F.col("question")).alias("question_hash"), *flags)
+
+
+@registered
+def nlp2_question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = relevance.analyzed(_items(spark, sf_dir).where(F.col("question").isNotNull()).select("question").distinct())
+    return asked.select(_md5(F.col("question")).alias("question_hash"), *[F.array_join(F.array_sort(c), " ").alias(c) for c in ("tokens", "important_terms", "identifier_terms")])
+
+
+@registered
+def nlp3_assessed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heuristic score of each question's ten best chunks by BM25, upon their score."""
+    docs = retrieval.documents(_chunks(spark, sf_dir))
+    found = retrieval.bm25_leg(docs, questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6)).join(docs.drop("repo_id"), "id")
+    scored = relevance.assessed(relevance.analyzed(found))
+    return scored.select("repo_id", _md5(F.col("question")).alias("question_hash"), "id", "symbol_exact", "symbol_partial", "declares", "path_match", "preferred_file",
+                         F.array_join("support_terms", " ").alias("support_terms"), "assessment")
+
+
+@registered
+def pip4_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.retrieve(_chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", 5)
+    return found.select(*QUERY, "rank", "id", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"), "source")
+
+
+@registered
+def pip7_extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relevance.analyzed(retrieval.retrieve(_chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", 5))
+    return answers.answered(found, QUERY)
+
+
+@registered
+def prj11_prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = retrieval.documents(_chunks(spark, sf_dir))
+    found = retrieval.bm25_leg(docs, questions(spark, sf_dir), 4).join(docs.drop("repo_id"), "id")
+    blocks = answers.prompt_blocks(found, QUERY)
+    return blocks.select("repo_id", _md5(F.col("question")).alias("question_hash"), F.char_length("blocks").alias("length"), _md5(F.col("blocks")).alias("digest"))
+
+
+# --- evaluation
+
+
+@registered
+def win7_hits_and_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select(
+        "eval_id", "item_no", evaluation.hit_at(3).alias("hit_at_3"), evaluation.hit_at(5).alias("hit_at_5"), F.round(evaluation.reciprocal_rank(), 6).alias("reciprocal_rank")
+    )
+
+
+@registered
+def agg27_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select("eval_id", "item_no", F.round(evaluation.groundedness(), 6).alias("groundedness"), F.array_join(evaluation.flags(), ";").alias("flags"))
+
+
+@registered
+def agg13_eval_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.summary(_items(spark, sf_dir), ["eval_id"])
+
+
+@registered
+def agg18_latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id")
+    return evaluation.nearest_rank(items, ["repo_id"], "latency_ms", [50, 95, 99])
+
+
+# --- requests
+
+
+@registered
+def jn16_matched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.matched(table(spark, sf_dir, "requests")).select("request_id", "policy", "client", "at")
+
+
+@registered
+def stm1_limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions under limits tight enough for this table: three requests an hour."""
+    tight = tuple((name, path, 3, 3600) for name, path, _, _ in guard.POLICIES)
+    return guard.limited(table(spark, sf_dir, "requests"), tight)
+
+
+@registered
+def agg19_request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.counters(table(spark, sf_dir, "requests").dropDuplicates(["request_id"]), ["method", "path"], "requests_total")
+
+
+@registered
+def snk11_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.exposition(agg19_request_counters(spark, sf_dir))
+
+
+@registered
+def agg20_latency_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id").where(F.col("latency_ms").isNotNull())
+    sums = items.groupBy("repo_id").agg(F.count(F.lit(1)).alias("count"), F.sum("latency_ms").alias("sum"), F.round(F.avg("latency_ms"), 6).alias("avg"))
+    return sums.join(evaluation.nearest_rank(items, ["repo_id"], "latency_ms", [95]).drop("n"), "repo_id")
+
+
+@registered
+def jsn1_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,string>").alias("p"))
+    return rows.select("event_type", F.explode("p").alias("key", "value")).groupBy("event_type", "key").agg(F.count("value").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root}/stream-{os.urandom(8).hex()}" if root else tempfile.mkdtemp(prefix="quarry-stream-")
+
+
+@registered
+def stm1_limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.collected(streams.limited_stream(streams.read_requests(spark, sf_dir)), _folder(spark))
+
+
+@registered
+def stm2_counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.collected(streams.counted_stream(streams.read_requests(spark, sf_dir)), _folder(spark), "complete")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +390,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(sql.SQL)
