@@ -26,14 +26,24 @@ def identifier_parts(identifier: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(F.split(F.lower(humps), "[./_ -]+"), lambda p: p != "")), _empty())
 
 
+def is_compound(token: Column) -> Column:
+    """Whether a token has parts other than itself; the rest, most tokens of a text, needn't be taken apart."""
+    return token.rlike("[./_-]|[a-z0-9][A-Z]")
+
+
 def normalized_identifier(identifier: Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(identifier), "[^a-z0-9]+", "")
 
 
+def _with_parts(token: Column) -> Column:
+    whole = F.array(F.lower(token))
+    return F.when(is_compound(token), F.concat(whole, identifier_parts(token))).otherwise(whole)
+
+
 def code_tokens(text: Column) -> Column:
     """The distinct lower-case tokens of a text together with the parts of each."""
-    return F.array_distinct(F.flatten(F.transform(raw_tokens(text), lambda t: F.concat(F.array(F.lower(t)), identifier_parts(t)))))
+    return F.array_distinct(F.flatten(F.transform(raw_tokens(text), _with_parts)))
 
 
 def stripped(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import base_name, code_tokens, filled_lines, identifier_parts, normalized_identifier, raw_tokens
+from quarry.functions.text import base_name, code_tokens, filled_lines, normalized_identifier, raw_tokens
 
 #: Term sets of the analysis.
 DEFINITION = "define defined defines declare declared declares implement implemented implements".split()
@@ -32,7 +32,7 @@ def analyzed(questions: DataFrame, question: str = "question") -> DataFrame:
     text = F.coalesce(F.col(question), F.lit(""))
     raw = raw_tokens(text)
     # order matters only for identifier terms of the fallback, which keep the first occurrence
-    tokens = F.array_distinct(F.flatten(F.transform(raw, lambda t: F.concat(F.array(F.lower(t)), identifier_parts(t)))))
+    tokens = code_tokens(text)
     stop, low, schema = _lit_array(STOPWORDS), _lit_array(LOW_SIGNAL), _lit_array(SCHEMA)
     df = questions.withColumn("tokens", tokens)
     strong = F.filter("tokens", lambda t: ~F.array_contains(stop, t) & ~F.array_contains(low, t) & (F.length(t) > 2))
@@ -72,7 +72,8 @@ def _declares(text_lower: Column) -> Column:
 
     def shape(pattern: str) -> Column:
         before, after = pattern.split("ID")
-        return F.exists("identifier_terms", lambda t: F.rlike(text_lower, F.concat(F.lit(before), t, F.lit(after))))
+        # most terms don't occur at all, which a plain search tells before a pattern is made
+        return F.exists("identifier_terms", lambda t: F.contains(text_lower, t) & F.rlike(text_lower, F.concat(F.lit(before), t, F.lit(after))))
 
     klass = shape(r"\b(?:export\s+)?class\s+ID\b")
     function = shape(r"\b(?:export\s+)?(?:async\s+)?function\s+ID\b")
@@ -92,20 +93,26 @@ def _import_only(text: Column) -> Column:
     return (F.size(head) > 0) & (imports >= F.greatest(F.lit(2), F.size(head) - 1))
 
 
+def chunk_features(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with what the score needs of a chunk alone: ``said_tokens`` and ``import_only``, made once per chunk."""
+    said = F.concat_ws(" ", "file_path", F.coalesce("symbol_name", F.lit("")), F.coalesce("symbol_type", F.lit("")), F.coalesce("chunk_text", F.lit("")))
+    return chunks.withColumns({"said_tokens": code_tokens(said), "import_only": _import_only(F.coalesce(F.col("chunk_text"), F.lit("")))})
+
+
 def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
     """``pairs`` of analyzed question and chunk with the parts of the heuristic score and ``assessment``.
 
-    Needs the columns of ``analyzed``, ``file_path, symbol_name, symbol_type, chunk_text, start_line`` and ``base``.
+    Needs the columns of ``analyzed``, ``file_path, symbol_name, symbol_type, chunk_text, start_line`` and ``base``;
+    the columns of ``chunk_features`` are made here only where they are missing.
     Null names and types count as empty. The score is rounded to six digits.
     """
     path = F.lower("file_path")
     name, text = base_name(path), F.coalesce(F.col("chunk_text"), F.lit(""))
     lower_text, symbol = F.lower(text), normalized_identifier(F.coalesce(F.col("symbol_name"), F.lit("")))
-    said = F.concat_ws(" ", "file_path", F.coalesce("symbol_name", F.lit("")), F.coalesce("symbol_type", F.lit("")), text)
-    df = pairs.withColumn("__said", code_tokens(said)).withColumns(
+    df = (pairs if "said_tokens" in pairs.columns else chunk_features(pairs)).withColumns(
         {
-            "important_overlap_terms": F.array_sort(F.array_intersect("important_terms", "__said")),
-            "identifier_overlap_terms": F.array_sort(F.array_intersect("identifier_terms", "__said")),
+            "important_overlap_terms": F.array_sort(F.array_intersect("important_terms", "said_tokens")),
+            "identifier_overlap_terms": F.array_sort(F.array_intersect("identifier_terms", "said_tokens")),
             "symbol_exact": (symbol != "") & F.array_contains("identifier_terms", symbol),
             "symbol_partial": (symbol != "") & F.exists("identifier_terms", lambda t: (F.length(t) > 3) & F.contains(symbol, t)),
             "declares": _declares(lower_text),
@@ -146,7 +153,7 @@ def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
         + if_(definition & (F.col("start_line") <= 40), 0.05)
         + if_(definition & (name == "package.json") & ~configuration, -0.15)
         + if_(definition & documentation, -0.18)
-        + if_(definition & _import_only(text) & ~F.col("declares"), -0.12)
+        + if_(definition & F.col("import_only") & ~F.col("declares"), -0.12)
         + if_(configuration & (name == "package.json"), 0.45)
         + if_(configuration & (F.contains(text, F.lit('"configuration"')) | F.contains(text, F.lit("contributes"))), 0.18)
         + if_(configuration & F.contains(lower_text, F.lit("codespa.")), 0.12)
@@ -157,4 +164,4 @@ def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
         + F.when(~F.col("asks_schema"), 0.0).when(hits > 0, F.least(F.lit(0.6), hits * 0.18)).otherwise(-0.24)
     )
     support = F.when(F.size("important_overlap_terms") > 0, F.col("important_overlap_terms")).otherwise(F.col("identifier_overlap_terms"))
-    return df.withColumns({"assessment": F.round(score, 6), "support_terms": support}).drop("__said")
+    return df.withColumns({"assessment": F.round(score, 6), "support_terms": support}).drop("said_tokens", "import_only")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import identifier_parts, raw_tokens
+from quarry.functions.text import identifier_parts, is_compound, raw_tokens
 
 K1, B = 1.5, 0.75
 #: How often the tokens of each field count.
@@ -18,21 +18,21 @@ def token_counts(df: DataFrame, keys: Sequence[str], fields: dict[str, int]) ->
     """``keys..., token, tf``: how often a row's tokens occur, summed over ``fields`` by weight.
 
     A raw token counts every time. A part of identifiers counts once per field, unless the same token came
-    first as a raw one. Rows whose fields are null or hold no token have no counts. One aggregation, combined
-    before the shuffle because the tokens of a row are beside each other.
+    first as a raw one. Rows whose fields are null or hold no token have no counts. Where ``df`` is partitioned by
+    one of ``keys``, as after a deduplication, the aggregations need no further shuffle.
     """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in fields.items()])
     raw = df.select(*keys, F.inline(each)).where(F.col("text").isNotNull()).select(*keys, "field", "weight", F.posexplode(raw_tokens(F.col("text"))).alias("at", "raw"))
-    both = F.concat(
-        F.array(F.struct(F.lower("raw").alias("token"), F.lit(1).alias("is_raw"))),
-        F.transform(identifier_parts(F.col("raw")), lambda p: F.struct(p.alias("token"), F.lit(0).alias("is_raw"))),
-    )
-    events = raw.select(*keys, "field", "weight", "at", F.inline(both))
-    per_field = events.groupBy(*keys, "token", "field").agg(
+    # each distinct raw token of a row is taken apart once
+    once = raw.groupBy(*keys, "field", "weight", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    whole = F.array(F.struct(F.lower("raw").alias("token"), F.col("n").alias("n_raw")))
+    parts = F.transform(identifier_parts(F.col("raw")), lambda p: F.struct(p.alias("token"), F.lit(0).cast("long").alias("n_raw")))
+    both = F.when(is_compound(F.col("raw")), F.concat(whole, parts)).otherwise(whole)
+    per_field = once.select(*keys, "field", "weight", "at", F.inline(both)).groupBy(*keys, "token", "field").agg(
         F.max("weight").alias("weight"),
-        F.sum("is_raw").alias("n_raw"),
-        F.min(F.when(F.col("is_raw") == 1, F.col("at"))).alias("first_raw"),
-        F.min(F.when(F.col("is_raw") == 0, F.col("at"))).alias("first_part"),
+        F.sum("n_raw").alias("n_raw"),
+        F.min(F.when(F.col("n_raw") > 0, F.col("at"))).alias("first_raw"),
+        F.min(F.when(F.col("n_raw") == 0, F.col("at"))).alias("first_part"),
     )
     extra = F.when(F.col("first_part").isNotNull() & (F.col("first_raw").isNull() | (F.col("first_part") < F.col("first_raw"))), 1).otherwise(0)
     return per_field.groupBy(*keys, "token").agg(F.sum(F.col("weight") * (F.col("n_raw") + extra)).cast("long").alias("tf"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import fusion, tokens, vectors
-from quarry.operators.relevance import analyzed, assessed
+from quarry.operators.relevance import analyzed, assessed, chunk_features
 from quarry.plans.lineage import cut_lineage
 
 QUERY = ["repo_id", "question"]
@@ -64,10 +64,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", top_
         found = fusion.fuse(legs, QUERY, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     else:
         found = legs[mode][0]
-    found = found.select(*QUERY, "id", "score", "rank").join(docs.drop("repo_id"), "id")
+    found = found.select(*QUERY, "id", "score", "rank")
     source = mode
-    if rerank:
-        scored = assessed(analyzed(found))
+    if not rerank:
+        found = found.join(docs.drop("repo_id"), "id")
+    else:
+        # questions are analyzed and chunks taken apart once each, before they meet
+        scored = assessed(found.join(chunk_features(docs.drop("repo_id")), "id").join(analyzed(asked), QUERY))
         again = Window.partitionBy(*QUERY).orderBy(F.col("assessment").desc(), "rank")
         found = scored.withColumn("rank", F.row_number().over(again)).select(
             *QUERY, "id", F.col("assessment").alias("score"), "rank", *[c for c in docs.columns if c not in ("id", "repo_id")]
