@@ -25,7 +25,8 @@ KEY = ["content_hash", "content_check", "content_length"]
 
 def letters_and_digits(text: Column) -> Column:
     """The letters and digits of ``text`` in their order, case folded (by upper case, then lower)."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
+    upper = F.replace(F.upper(text), F.lit("ß"), F.lit("SS"))  # the one common letter whose upper case is two letters
+    return F.regexp_replace(F.lower(upper), r"[^\p{L}\p{N}]+", "")
 
 
 def fold(text: str) -> str:
@@ -86,7 +87,7 @@ def _flow(text: str, at: int) -> tuple[object, int]:
     if quoted:
         return quoted.group()[1:-1], quoted.end()
     plain = re.compile(r"(?:[^,\[\]{}:]|:(?!\s|$))*").match(text, at)
-    return plain.group().strip(), plain.end()
+    return plain.group().strip() or None, plain.end()
 
 
 def _scalar(first: str, lines: list[tuple[int, str]], i: int, indent: int) -> tuple[object, int]:
@@ -180,7 +181,12 @@ def fields(text: str | None, language: str) -> str | None:
     try:
         if language == "json":
             return _render(json.loads(text, object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=str))
-        return _render(_yaml(text))
+        try:
+            return _render(_yaml(text))
+        except ValueError:  # a chunk's text is stripped, so its first line may have lost its indentation
+            first, _, rest = text.partition("\n")
+            depth = min((len(x) - len(x.lstrip()) for x in rest.split("\n") if x.strip()), default=0)
+            return _render(_yaml(" " * depth + first + "\n" + rest))
     except (ValueError, RecursionError, IndexError):
         return None
 

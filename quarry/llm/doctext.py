@@ -95,6 +95,8 @@ _DECLARED = {
     "ruby": re.compile(r"\s*(?:\w+\s+)*def\s"),
     "go": re.compile(r"\s*func\b"),
 }
+#: A declaration on a line that ends with a semicolon: a body begun on it, or a type, a name and parameters only.
+_ENDED = re.compile(r"\)[^;]*\{|^\s*(?:[\w<>\[\],.?@]+\s+)+[\w$]+\s*\([^=]*\)\s*(?:throws [\w., ]+)?;\s*$")
 _DECORATION = re.compile(r"\s*(?:@[\w.]|\[\[|\[[A-Z]\w*[\](]|#\[|template\s*<)")
 
 
@@ -107,7 +109,7 @@ def _may_declare(line: str, language: str) -> bool:
         return bool(_DECLARED[language].match(line))
     if "(" not in line and "=" not in line or _NOT_DECLARED.match(line):
         return False
-    return not line.rstrip().endswith(";") or line.rstrip().endswith("};")
+    return not line.rstrip().endswith(";") or bool(_ENDED.search(line))
 
 
 def comments_above(text: str, language: str) -> tuple[list[tuple[int, str, str]], str | None, list[int]]:

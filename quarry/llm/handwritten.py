@@ -71,7 +71,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     head = F.substring(text, 1, 1500)
     top = F.coalesce(F.col("start_line"), F.lit(1)) <= 3
     return chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & text.isNotNull()).select(
-        "repo_id", "file_path", "language",
+        "repo_id", "file_path", "language", "end_line",
         F.char_length(text).cast("long").alias("chars"),
         left_by(r"[\s ]+").cast("long").alias("visible"),
         left_by(r"[^\p{L}\p{N}]+").cast("long").alias("alnum"),
@@ -89,18 +89,20 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
 def file_statistics(chunks: DataFrame) -> DataFrame:
     """One row per file: the sums, maxima and unions of its chunks' statistics, and the shares they give.
 
-    Windows of a file overlap and repeated rows count again, in both parts of every share. Rows of null
-    repo, path or text are passed over; a file of empty texts has shares of 0.
+    Windows of a file overlap and repeated rows count again, in both parts of every share; ``lines`` is no more
+    than the last line number. Rows of null repo, path or text are passed over; a file of empty texts has
+    shares of 0.
     """
     total = chunk_statistics(chunks).groupBy("repo_id", "file_path").agg(
         F.max("language").alias("language"),
-        *[F.sum(c).alias(c) for c in ("chars", "visible", "alnum", "number_chars", "encoded_chars", "lines")],
+        *[F.sum(c).alias(c) for c in ("chars", "visible", "alnum", "number_chars", "encoded_chars")],
+        F.sum("lines").alias("chunk_lines"), F.max("end_line").cast("long").alias("last_line"),
         F.max("max_line").alias("max_line"),
         F.bit_count(F.bit_or("shapes")).alias("n_shapes"),
         *[F.bool_or(c).alias(c) for c in ("generated_notice", "vendor_notice", "lock_content")],
     )
-    return total.select(
-        "*", _share("chars", "lines").alias("mean_line"), (1 - _share("visible", "chars")).alias("space_share"), _share("alnum", "chars").alias("alnum_share"),
+    return total.withColumn("lines", F.least("chunk_lines", "last_line")).select(
+        "*", _share("chars", "chunk_lines").alias("mean_line"), (1 - _share("visible", "chars")).alias("space_share"), _share("alnum", "chars").alias("alnum_share"),
         _share("number_chars", "visible").alias("number_share"), _share("encoded_chars", "visible").alias("encoded_share"),
     )
 
