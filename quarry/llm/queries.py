@@ -79,18 +79,23 @@ def _p2_sql(keys: str) -> str:
     SELECT {keys}, CAST(max(whole) AS BIGINT) AS n, {wanted} FROM ranked GROUP BY {keys}"""
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limit, overlap = split.limit_of(table(spark, sf_dir, "size_limits"), "chunk_chars")
-    chunks = table(spark, sf_dir, "chunks").select("id", "repo_id", "file_path", "start_line", "end_line", "chunk_text")
-    return split.split_oversized(chunks, "chunk_text", "start_line", "end_line", limit, overlap)
+CHUNK_COLUMNS = ("id", "repo_id", "file_path", "start_line", "end_line", "chunk_text")
+
+
+def _pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    return split.split_oversized(chunks, "chunk_text", "start_line", "end_line", *split.limit_of(limits, "chunk_chars"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).where(F.col("piece_no") == 1).select("id").distinct()
+    pieces = _pieces(table(spark, sf_dir, "chunks").select(*CHUNK_COLUMNS), table(spark, sf_dir, "size_limits"))
+    return pieces.where(F.col("piece_no") == 1).select("id").distinct()
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).dropDuplicates(["id", "piece_no"])
+    limits = table(spark, sf_dir, "size_limits")
+    chunks = table(spark, sf_dir, "chunks").select(*CHUNK_COLUMNS)
+    placed = split.aligned(chunks, *split.limit_of(limits, "chunk_lines"), split.limit_of(limits, "chunk_chars")[0])
+    return _pieces(placed, limits).dropDuplicates(["id", "piece_no"])
 
 
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE length(chunk_text) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk_chars')"

@@ -145,6 +145,30 @@ def split_oversized(df: DataFrame, text: str, start_line: str, end_line: str, li
     )
 
 
+def aligned(df: DataFrame, window: int, overlap: int, limit: int) -> DataFrame:
+    """Chunks ``id, repo_id, file_path, start_line, end_line, chunk_text`` with ``start_line`` at the first line of the text.
+
+    The text of a window is stripped but its line numbers aren't moved, so one that begins with blank lines
+    starts later than it says. Where lines are missing from a text of more than ``limit`` characters, the window
+    before it, which shares ``overlap`` lines, tells how many were on top; without such a window they count as
+    having been at the end. Only keys and the shared lines of whole windows move.
+    """
+    step, place = window - overlap, ["repo_id", "file_path", "start_line"]
+    missing = F.col("end_line") - F.col("start_line") - F.length(F.regexp_replace("chunk_text", "[^\n]+", ""))
+    first = F.trim(F.substring_index("chunk_text", "\n", 1))
+    loose = df.where((F.char_length("chunk_text") > limit) & (missing > 0)).select(*place, "id", missing.alias("__missing"), first.alias("__first")).distinct()
+    tail = F.transform(F.slice(F.split("chunk_text", "\n"), step + 1, overlap), lambda x: F.trim(x))
+    before = (
+        df.where((F.col("end_line") - F.col("start_line") + 1 == window) & (F.length(F.regexp_replace("chunk_text", "[^\n]+", "")) >= step))
+        .select("repo_id", "file_path", (F.col("start_line") + step).alias("start_line"), tail.alias("__tail"))
+    )
+    blank = F.array_position(F.transform("__tail", lambda x: x != ""), True) - 1  # lines before the first one that isn't blank
+    fits = (blank > 0) & (blank <= F.col("__missing")) & (F.get("__tail", blank.cast("int")) == F.col("__first"))
+    shifts = loose.join(before, place).where(fits).groupBy(*place, "id").agg(F.min(blank).cast("int").alias("__shift"))
+    moved = df.join(shifts, [*place, "id"], "left").withColumn("start_line", (F.col("start_line") + F.coalesce("__shift", F.lit(0))).cast("int"))
+    return moved.select(*df.columns)
+
+
 def limit_of(limits: DataFrame, name: str) -> tuple[int, int]:
     """Size and overlap of one named row of ``size_limits``."""
     row = limits.where(F.col("limit_name") == name).select("max_size", F.coalesce("overlap", F.lit(0)).alias("overlap")).first()

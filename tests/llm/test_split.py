@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.split import cut_points, split_oversized, split_text
+from quarry.llm.split import aligned, cut_points, split_oversized, split_text
 
 
 def sample(n, seed=0):
@@ -46,3 +46,13 @@ def test_rows(spark):
     assert mine[0].piece_start_line == 5 and mine[-1].piece_end_line == 304
     with pytest.raises(ValueError):
         cut_points("abc", 10, 10)
+
+
+def test_stripped_lines_are_placed(spark):
+    lines = [f"line {i} " + "x" * 60 for i in range(1, 201)]
+    lines[60] = lines[61] = lines[199] = ""
+    window = lambda s, e: ("a", "f", s, e, "\n".join(lines[s - 1 : e]).strip())
+    rows = [(f"w{s}", *window(s, e)) for s, e in ((1, 80), (61, 140), (121, 200))]
+    df = spark.createDataFrame([*rows, rows[1]], "id string, repo_id string, file_path string, start_line int, end_line int, chunk_text string")
+    got = sorted((r.id, r.start_line, r.end_line) for r in aligned(df, 80, 20, 4000).distinct().collect())
+    assert got == [("w1", 1, 80), ("w121", 121, 200), ("w61", 63, 140)]
