@@ -5,6 +5,7 @@ Nothing here decides on names, numbers or streets; see ``pii``. Only e-mail addr
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -35,7 +36,9 @@ _REVERSED = re.compile(
 
 #: A number-like run: groups of digits, with up to two capitals beside them, and the separators of phone and identity numbers.
 _GROUP = r"(?:\(\d{1,5}\)|[A-Z]{0,2}\d+[A-Z]?)"
-_NUMBER = re.compile(rf"(?<![\w@.,/:#+-])(?:[A-Z]{{1,2}}[ ])?\+?{_GROUP}(?:(?:[ ]?[/-][ ]?|[ .]|(?<=\))|(?=\()){_GROUP})*(?:[ -]?[A-Z])?(?![\w@]|[.:/-]\w|-\d)")
+_NUMBER = re.compile(rf"(?<![\w@.,/:#+-])(?:[A-Z]{{1,2}}[ ])?\+?{_GROUP}(?:(?:[ ]?[/-][ ]?|[ .]|(?<=\))|(?=\()){_GROUP})*(?:-?[A-Z])?(?![\w@]|[.:/-]\w|-\d)")
+#: What may follow a run that begins with letters: one more letter, set apart.
+_LETTER = re.compile(r"[ ][A-Z](?![\w@'’-])")
 
 _HOUSE = r"\d{1,4}"
 #: Public street words by language; the last word, the first word or the ending of a street name.
@@ -105,6 +108,7 @@ def _name_rows(text: str, emails: list[tuple[int, int, str]]) -> list[tuple]:
 
     for m in _SEQUENCE.finditer(text):
         words = [(w.start() + m.start(), w.group()) for w in re.finditer(r"[^  ]+", m.group())]
+        words = list(itertools.takewhile(lambda w: not any(s < w[0] + len(w[1]) and w[0] < e for s, e, _ in emails), words))
         for k in range(len(words) - 1):
             at, given = words[k]
             if not _is_capital(given) or fold(given) in PARTICLES and not given.endswith("."):
@@ -157,13 +161,16 @@ def scan(text: str) -> list[tuple]:
             rows.append(("email", m.start(), m.start(), m.end(), None, "email", None, None, None, False, [], "email"))
     rows += _name_rows(text, emails)
     for m in _NUMBER.finditer(text):
-        value = m.group()
+        stop = m.end()
+        if text[m.start() : m.start() + 2].isalpha() and (more := _LETTER.match(text, stop)):
+            stop = more.end()
+        value = text[m.start() : stop]
         digits = sum(map(str.isdigit, value))
         if not 7 - (value[:2].isalpha()) <= digits <= 15 or re.fullmatch(r"\d{7}|\d+[.]\d+|\d{4}[-./]\d\d?[-./]\d\d?", value):
             continue
         kind = shape(value)
         seed = "phone" if value[0] == "+" and digits >= 9 else "id_number" if _SEED_SHAPES.fullmatch(kind) else None
-        rows.append(("number", m.start(), m.start(), m.end(), None, kind, None, None, None, False, contexts(text, m.start(), m.end()), seed))
+        rows.append(("number", m.start(), m.start(), stop, None, kind, None, None, None, False, contexts(text, m.start(), stop), seed))
     for pattern in (ADDRESS_EN, ADDRESS_FR):
         for m in pattern.finditer(text):
             end = m.end()

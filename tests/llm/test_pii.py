@@ -18,6 +18,7 @@ def corpus():
         docs.append(f"national id: T02 G{600 + i}-470J")
         docs.append("Ticket AB-1234567, build A12-B345-678, tag 99-10-2031. There are 12 Index Lanes here. Clone git@code.example:a/b.git from ssh://git@hub.invalid/x")
     docs.append("I think Velhart, Mira already said so. DORIN PLAVIQUE knows. Dr. Jonas van der Plavique left. Frau Wanda Pedra Tallis can see it.")
+    docs.append("Mail Priya.Plavique@Example.Org if it fails. national id: QQ 53 33 34 A. On-call number is 030 / 23125099 A field.")
     docs.append("mail: mira.velhart at kiosk dot example or jonas [at] post [dot] example")
     return [*docs, "", None]
 
@@ -37,7 +38,8 @@ def test_found_and_redacted(spark):
     assert got[4] == {("phone", "030 / 23125010"), ("id_number", "942-25-8310")}
     assert got[5] == {("id_number", "T02 G600-470J")}  # a format that no seed has, found by its context
     n = len(texts)
-    assert got[n - 4] >= {("name", "Velhart, Mira"), ("name", "Jonas van der Plavique")}
+    assert got[n - 4] == {("email", "Priya.Plavique@Example.Org"), ("id_number", "QQ 53 33 34 A"), ("phone", "030 / 23125099")}
+    assert got[n - 5] >= {("name", "Velhart, Mira"), ("name", "Jonas van der Plavique")}
     assert got[n - 3] == {("email", "mira.velhart at kiosk dot example"), ("email", "jonas [at] post [dot] example")}
     clean = {r.doc_id: r for r in pii.redacted(docs, pieces).collect()}
     assert clean[1].text == "| <NAME> | <ADDRESS> | <PHONE> |" and clean[1].n_pieces == 3
