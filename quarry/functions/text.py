@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A raw token, the separators of identifiers, line ends, and what leads a markdown line.
 RAW_TOKEN = r"[A-Za-z_][A-Za-z0-9_./-]*"
-LINE_END = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]"
+LINE_END = r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"
 #: Fixed value: white space as Unicode has it, with the separators of files, groups, records and units.
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKDOWN_LEAD = r"^[#*\-\s`>]+"
