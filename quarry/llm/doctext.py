@@ -91,9 +91,9 @@ _NOT_DECLARED = re.compile(
     r"\s*(?:if|for|while|switch|catch|return|else|try|do|case|throw|raise|with|import|from|require|package|print|del|assert|elif|except|unless|until|when)\b"
 )
 _DECLARED = {
-    "python": re.compile(r"\s*(?:async\s+)?def\s"),
-    "ruby": re.compile(r"\s*(?:\w+\s+)*def\s"),
-    "go": re.compile(r"\s*func\b"),
+    "python": re.compile(r"\s*(?:async\s+)?def\s", re.I),
+    "ruby": re.compile(r"\s*(?:\w+\s+)*def\s", re.I),
+    "go": re.compile(r"\s*func\b", re.I),
 }
 #: A declaration on a line that ends with a semicolon: a body begun on it, or a type, a name and parameters only.
 _ENDED = re.compile(r"\)[^;]*\{|^\s*(?:[\w<>\[\],.?@]+\s+)+[\w$]+\s*\([^=]*\)\s*(?:throws [\w., ]+)?;\s*$")

@@ -18,9 +18,9 @@ _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 _END = r"[^\W\d_]{2,}(?![\w@-])"
 #: Plain addresses, addresses with a bracketed at, and addresses spelt in words.
 EMAILS = (
-    (re.compile("@"), re.compile(rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.{_END}")),
-    (re.compile(_AT), re.compile(rf"{_LOCAL}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT}){_END}")),
-    (re.compile(r"\s(?:dot|DOT|punto|punkt)\s"), re.compile(rf"{_LOCAL}\s(?:at|AT|arroba)\s{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_END}")),
+    (re.compile("@").search, re.compile(rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.{_END}")),
+    (re.compile(r"[\[({<]\s?(?:at|AT|At|a|arroba|ät)\s?[\])}>]").search, re.compile(rf"{_LOCAL}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT}){_END}")),
+    (lambda text: "dot" in text or "DOT" in text or "punto" in text or "punkt" in text, re.compile(rf"{_LOCAL}\s(?:at|AT|arroba)\s{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_END}")),
 )
 
 #: Words between a given and a family name.
@@ -40,6 +40,8 @@ _NUMBER = re.compile(rf"(?<![\w@.,/:#+-])(?:[A-Z]{{1,2}}[ ])?\+?{_GROUP}(?:(?:[
 #: What may follow a run that begins with letters: one more letter, set apart.
 _LETTER = re.compile(r"[ ][A-Z](?![\w@'’-])")
 
+_COMMA = re.compile(rf",[ ][{_UPPER}]")
+
 _HOUSE = r"\d{1,4}"
 #: Public street words by language; the last word, the first word or the ending of a street name.
 _EN = "Lane Road Rd Street St Avenue Ave Close Way Crescent Drive Court Place Square Terrace Boulevard Blvd Gardens Grove Row Mews Hill Walk Parade Ln Ct Cres Sq Ter".split()
@@ -136,7 +138,7 @@ def _name_rows(text: str, emails: list[tuple[int, int, str]]) -> list[tuple]:
                 add(m.start(), given, full, at, words[first][0] + len(name), name, long_end, text[words[first + 1][0] : long_end])
             else:
                 add(m.start(), given, full, at, words[first][0] + len(name), None, None, None)
-    for m in _REVERSED.finditer(text):
+    for m in _REVERSED.finditer(text) if _COMMA.search(text) else ():
         family, given = m.group(1), m.group(2)
         if fold(family) not in PARTICLES:
             add(m.start(), given.split(" ")[0], family, m.start(1), m.end(2), None, None, None)
@@ -151,7 +153,7 @@ def scan(text: str) -> list[tuple]:
     rows: list[tuple] = []
     emails: list[tuple[int, int, str]] = []
     for hint, pattern in EMAILS:
-        if not hint.search(text):
+        if not hint(text):
             continue
         for m in pattern.finditer(text):
             before, after = text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 2]
