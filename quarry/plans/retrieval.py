@@ -25,21 +25,28 @@ def documents(chunks: DataFrame) -> DataFrame:
     return kept.where(F.col("id").isNotNull() & F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc``, a 128-bit hash of the id: postings carry 16 bytes instead of a long id."""
+    return docs.withColumn("doc", F.unhex(F.md5("id")))
+
+
 def bm25_leg(docs: DataFrame, questions: DataFrame, most: int, variant: str = "simple") -> DataFrame:
     """``repo_id, question, id, score, rank`` of the best chunks by field-weighted BM25, of positive score."""
-    counts = cut_lineage(tokens.token_counts(docs, ["repo_id", "id"], tokens.FIELD_WEIGHTS))  # read for lengths, frequencies and postings
+    docs = _keyed(docs)
+    counts = cut_lineage(tokens.token_counts(docs, ["repo_id", "doc"], tokens.FIELD_WEIGHTS))  # read for lengths, frequencies and postings
     wanted = tokens.token_counts(questions.withColumn("__text", F.col("question")), QUERY, {"__text": 1})
-    stats = tokens.corpus_stats(docs, counts, "repo_id", "id")
-    scored = tokens.bm25(counts, stats, wanted, "repo_id", "id", "question", variant).join(docs.select(*PLACE), "id")
+    stats = tokens.corpus_stats(docs, counts, "repo_id", "doc")
+    scored = tokens.bm25(counts, stats, wanted, "repo_id", "doc", "question", variant).join(docs.select("doc", *PLACE), "doc")
     best = tokens.ranked(scored, QUERY, PLACE, most)
     return best.where(F.col("score") > 0).select(*QUERY, "id", "score", "rank")
 
 
 def vector_leg(docs: DataFrame, questions: DataFrame, most: int) -> DataFrame:
     """``repo_id, question, id, score, rank`` of the best chunks by cosine of hashing embeddings."""
-    embedded = cut_lineage(vectors.hash_embedding(docs, ["repo_id", "id"], "chunk_text"))  # read for norms and products
+    docs = _keyed(docs)
+    embedded = cut_lineage(vectors.hash_embedding(docs, ["repo_id", "doc"], "chunk_text"))  # read for norms and products
     asked = vectors.hash_embedding(questions.withColumn("__text", F.col("question")), QUERY, "__text")
-    scored = vectors.hash_cosine(embedded, asked, "repo_id", "id", "question").join(docs.select(*PLACE), "id")
+    scored = vectors.hash_cosine(embedded, asked, "repo_id", "doc", "question").join(docs.select("doc", *PLACE), "doc")
     return tokens.ranked(scored, QUERY, PLACE, most).select(*QUERY, "id", "score", "rank")
 
 
