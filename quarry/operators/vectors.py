@@ -33,7 +33,7 @@ def hash_cosine(chunks: DataFrame, queries: DataFrame, scope: str, document: str
     """``scope, query, document, score`` of sparse embeddings that share a bucket, within one scope.
 
     Integer dot products and squares make the score independent of the order of summation. Documents of score 0
-    that share no bucket don't come out.
+    that share no bucket don't come out; ``with_zeros`` adds them.
     """
     dots = (
         chunks.select(scope, document, "ix", F.col("v").alias("dv"))
@@ -47,6 +47,12 @@ def hash_cosine(chunks: DataFrame, queries: DataFrame, scope: str, document: str
     return sized.select(scope, query, document, (F.col("dot") / (F.sqrt(F.col("ds").cast("double")) * F.sqrt(F.col("qs").cast("double")))).alias("score"))
 
 
+def with_zeros(scored: DataFrame, documents: DataFrame, queries: DataFrame, scope: str, document: str, query: str) -> DataFrame:
+    """``scope, query, document, score`` of every document in the scope of each of ``queries``: 0 where ``scored`` has none."""
+    pairs = queries.select(scope, query).join(documents.select(scope, document), scope)
+    return pairs.join(scored, [scope, query, document], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def missing_from_cache(chunks: DataFrame, cache: DataFrame, key: str = "chunk_hash") -> DataFrame:
     """Each hash of ``chunks`` without a cached vector, once, with its text. Null hashes are left out."""
     return chunks.where(F.col(key).isNotNull()).dropDuplicates([key]).join(cache, key, "left_anti")

@@ -42,12 +42,22 @@ def bm25_leg(docs: DataFrame, questions: DataFrame, most: int, variant: str = "s
 
 
 def vector_leg(docs: DataFrame, questions: DataFrame, most: int) -> DataFrame:
-    """``repo_id, question, id, score, rank`` of the best chunks by cosine of hashing embeddings."""
+    """``repo_id, question, id, score, rank`` of the best chunks by cosine of hashing embeddings.
+
+    All chunks of the repository are ranked: those that share no bucket with the question, or have no tokens, have
+    score 0 and stand before negative ones. They are paired only with questions of fewer than ``most`` positive scores.
+    """
     docs = _keyed(docs)
     embedded = cut_lineage(vectors.hash_embedding(docs, ["repo_id", "doc"], "chunk_text"))  # read for norms and products
     asked = vectors.hash_embedding(questions.withColumn("__text", F.col("question")), QUERY, "__text")
-    scored = vectors.hash_cosine(embedded, asked, "repo_id", "doc", "question").join(docs.select("doc", *PLACE), "doc")
-    return tokens.ranked(scored, QUERY, PLACE, most).select(*QUERY, "id", "score", "rank")
+    places = docs.select("doc", *PLACE)
+    best = cut_lineage(tokens.ranked(vectors.hash_cosine(embedded, asked, "repo_id", "doc", "question").join(places, "doc"), QUERY, PLACE, most))
+    enough = best.where((F.col("rank") == most) & (F.round("score", 9) > 0)).select(*QUERY)
+    short = questions.select(*QUERY).join(enough, QUERY, "left_anti")
+    some = vectors.hash_cosine(embedded, asked.join(enough, QUERY, "left_anti"), "repo_id", "doc", "question")
+    whole = vectors.with_zeros(some, docs, short, "repo_id", "doc", "question").join(places, "doc")
+    found = best.join(enough, QUERY, "left_semi").select(*QUERY, "id", "score", "rank")
+    return found.unionByName(tokens.ranked(whole, QUERY, PLACE, most).select(*QUERY, "id", "score", "rank"))
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", top_k: int = 5, rerank: bool = True, per_file: int = 2, variant: str = "simple") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from quarry.operators import fusion, tokens, vectors
 from quarry.operators.answers import UNKNOWN, answered
 from quarry.operators.relevance import analyzed
-from quarry.plans.retrieval import retrieve
+from quarry.plans.retrieval import documents, retrieve, vector_leg
 
 CHUNK = "id string, repo_id string, file_path string, start_line int, end_line int, symbol_name string, symbol_type string, chunk_text string"
 
@@ -78,6 +78,27 @@ def test_nearest_as_brute_force(spark):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+def test_vector_leg_ranks_all_chunks_of_the_repository(spark):
+    from quarry.functions.ids import bucket, sign
+
+    words = spark.createDataFrame([(f"w{i}",) for i in range(3000)], "w string")
+    placed = {r.w: (r.ix, r.s) for r in words.select("w", bucket(words.w, vectors.DIMENSIONS).alias("ix"), sign(words.w).alias("s")).collect()}
+    against = next(w for w, (ix, s) in placed.items() if (ix, s) == (placed["w0"][0], -placed["w0"][1]))
+    apart = [w for w, (ix, _) in placed.items() if ix != placed["w0"][0]][:2]
+    texts = {"a": against, "b": apart[0], "c": "w0", "d": "123", "e": apart[1]}
+    chunks = spark.createDataFrame([chunk(f"{k}.py", 1, 1, None, None, t) for k, t in texts.items()] + [chunk("x.py", 1, 1, None, None, "w0", "other")], CHUNK)
+    asked = spark.createDataFrame([("r", "w0"), ("r", "??"), ("none", "w0")], "repo_id string, question string")
+
+    def leg(most):
+        rows = sorted(vector_leg(documents(chunks), asked, most).collect(), key=lambda r: (r.question, r["rank"]))
+        return [(r.question, r.id[2], round(r.score, 6)) for r in rows]
+
+    empty = [("??", k, 0) for k in "abcde"]
+    full = [("w0", "c", 1), ("w0", "b", 0), ("w0", "d", 0), ("w0", "e", 0), ("w0", "a", -1)]
+    assert leg(60) == empty + full
+    assert leg(3) == empty[:3] + full[:3] and leg(1) == empty[:1] + full[:1]
+
+
 def test_fusion_and_diversity(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "q string, id string, rank int")
     b = spark.createDataFrame([("q", "y", 1), ("q", "z", 2)], "q string, id string, rank int")
