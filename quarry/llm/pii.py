@@ -5,7 +5,8 @@ stand in. Seeds are certain by themselves: a name that an e-mail address beside
 telephone number, a public format of identity numbers, a street of a known kind. Seeds induce patterns: Spark
 scores each pattern by the share of its mentions whose instance is known, then each instance by the scores of the
 patterns it stands in, and so on for some rounds over the aggregated graph of instances and patterns, which is
-far smaller than the texts. Confident instances and patterns then decide on all mentions, seen before or not.
+far smaller than the texts. Confident instances and patterns then decide on all mentions, seen before or not; an
+instance that is not known counts where a confident pattern with a word in it holds at least half of its mentions.
 """
 
 from __future__ import annotations
@@ -104,6 +105,32 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
 
 
 
+def _vouched(found: DataFrame, confident: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` of unknown instances in a confident pattern, with ``label, p_score``.
+
+    Against look-alikes, patterns of layout alone (no word) don't count, nor do instances that stand elsewhere in
+    more than half of their mentions.
+    """
+    mention = ["doc_id", "family", "start", "stop", "label", "instance"]
+    seen = _labelled(found.where((F.col("family") != "email") & ~F.col("instance").endswith("."))).join(known, ["label", "instance"], "left_anti")
+    worded = confident.where(F.col("pattern").rlike(r"\p{L}"))
+    held = (
+        seen.select(*mention, F.explode("contexts").alias("pattern"))
+        .join(worded, ["label", "pattern"])
+        .groupBy(*mention)
+        .agg(F.max("p_score").alias("p_score"))
+    )
+    whole = seen.groupBy("label", "instance").agg(F.countDistinct("doc_id", "start", "stop").alias("n"))
+    usual = held.groupBy("label", "instance").agg(F.count(F.lit(1)).alias("n_held")).join(whole, ["label", "instance"]).where(2 * F.col("n_held") >= F.col("n"))
+    return found.join(held.join(usual, ["label", "instance"], "left_semi"), ["doc_id", "family", "start", "stop", "instance"])
+
+
+def _clear_of(added: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``added`` that overlap none of ``kept`` in their text."""
+    taken = kept.select(F.col("doc_id").alias("__doc"), F.col("start").alias("__start"), F.col("stop").alias("__stop"))
+    return added.join(taken, (F.col("doc_id") == F.col("__doc")) & (F.col("start") < F.col("__stop")) & (F.col("__start") < F.col("stop")), "left_anti")
+
+
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, pii_type, start, stop, value`` of every piece of personal data in ``doc_id, text``.
@@ -113,11 +140,12 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found = cut_lineage(mentions(docs))
     scores, patterns = learn(found, rounds)
     known = cut_lineage(scores.where(F.col("score") >= KNOWN))
-    confident = patterns.where((F.col("p_score") >= CONFIDENT) & (F.col("p_known") >= 2)).select("label", "pattern", F.col("p_score"))
+    confident = cut_lineage(patterns.where((F.col("p_score") >= CONFIDENT) & (F.col("p_known") >= 2)).select("label", "pattern", F.col("p_score")))
+    vouched = cut_lineage(_vouched(found, confident, known))
 
     emails = found.where(F.col("family") == "email").select("doc_id", F.lit("email").alias("pii_type"), "start", "stop", "value")
 
-    # numbers and addresses: by instance
+    # numbers and addresses: by instance, else by a confident pattern
     others = _labelled(found.where(F.col("family").isin("number", "address")))
     others = (
         others.join(known, ["label", "instance"])
@@ -125,15 +153,22 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .agg(F.max_by(F.struct("label", "stop", "value"), F.struct("score", "stop")).alias("b"))
         .select("doc_id", F.col("b.label").alias("pii_type"), "start", "b.stop", "b.value")
     )
+    others = cut_lineage(others)  # each cut keeps the plan that the driver holds small
+    unseen = (
+        vouched.where(F.col("family").isin("number", "address"))
+        .groupBy("doc_id", "family", "start")
+        .agg(F.max_by(F.struct("label", "stop", "value"), F.struct("p_score", "stop")).alias("b"))
+        .select("doc_id", F.col("b.label").alias("pii_type"), "start", "b.stop", "b.value")
+    )
+    others = others.unionByName(_clear_of(unseen, others))
 
-    # names: by given name, else, for an initial, by a confident pattern or a family name that is known
+    # names: by given name, else by a confident pattern or, for an initial, a family name that is known
     named = found.where(F.col("family") == "name").withColumn("label", F.lit("name"))
     givens = known.where(F.col("label") == "name").select("instance")
     full = named.where(~F.col("instance").endswith(".")).join(givens, "instance", "left_semi")
     middles = givens.select(F.col("instance").alias("middle"), F.lit(True).alias("middle_known"))
-    resolved = full.join(middles, "middle", "left").withColumn(
-        "is_long", F.col("long_stop").isNotNull() & (F.col("take_long") | F.coalesce("middle_known", F.lit(False)) | F.coalesce(F.col("middle").endswith("."), F.lit(False)))
-    )
+    is_long = F.col("long_stop").isNotNull() & (F.col("take_long") | F.coalesce("middle_known", F.lit(False)) | F.coalesce(F.col("middle").endswith("."), F.lit(False)))
+    resolved = full.join(middles, "middle", "left").withColumn("is_long", is_long)
     chosen = [
         "doc_id", "grp", "start",
         F.when(F.col("is_long"), F.col("long_stop")).otherwise(F.col("stop")).alias("stop"),
@@ -155,11 +190,13 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .withColumn("is_long", F.lit(False))
         .select(*chosen)
     )
+    certain = cut_lineage(by_given.drop("tail").unionByName(by_initial))
+    by_pattern = vouched.where(F.col("family") == "name").join(middles, "middle", "left").withColumn("is_long", is_long).select(*chosen).distinct()
     # within one run of capitalized words: from the left, each name that begins after the one before has ended
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     apart = F.aggregate("all", none, lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["stop"]), F.array_append(kept, x)).otherwise(kept))
     names = (
-        by_given.drop("tail").unionByName(by_initial)
+        certain.unionByName(_clear_of(by_pattern, certain))
         .groupBy("doc_id", "grp")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value"))).alias("all"))
         .select("doc_id", F.lit("name").alias("pii_type"), F.inline(apart))

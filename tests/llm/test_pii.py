@@ -46,6 +46,19 @@ def test_found_and_redacted(spark):
     assert clean[3].text == texts[3] and clean[n - 2].text == "" and clean[n - 1].text is None
 
 
+def test_a_confident_pattern_finds_unseen_instances_of_every_family(spark):
+    texts = [t for t in corpus() if t]
+    mails = ["Mira", "Jonas", "Priya"]
+    for i, (g, f) in enumerate((g, f) for g in mails for f in FAMILY):
+        texts += [f"Owner on duty: {g} {f}, desk {i}.", f"Mailing to address: {10 + i} {('Heron', 'Alder', 'Wren')[i % 3]} Lane, then."]
+    seen = len(texts)
+    texts += ["Next week owner on duty: Quirin Vastholm; room free.", "Old national id: 77-4412-9035-Z; room free.", "Mailing to address: Ufersteg Morgenrot 14; room free."]
+    texts += ["Table layout\nPort Tamsin\nend"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id - seen, r.pii_type, r.value) for r in pii.personal_data(docs).collect() if r.doc_id >= seen}
+    assert got == {(0, "name", "Quirin Vastholm"), (1, "id_number", "77-4412-9035-Z"), (2, "address", "Ufersteg Morgenrot 14")}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(docs).count() == 0
