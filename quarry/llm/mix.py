@@ -47,13 +47,16 @@ def steps(wanted: float, most: int) -> list[float]:
     return out
 
 
-def unique_texts(docs: DataFrame) -> DataFrame:
+def unique_texts(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Of ``doc_id, source, text, n_tokens`` the row of smallest ``doc_id`` per text, without the text.
 
     A text under several ids counts once, in the source of its smallest id, so that no text can exceed its
-    maximum through another id. Null and empty texts and texts of 0 tokens don't come out. Equal texts meet as
+    maximum through another id. With ``targets`` only rows of sources with a positive share count, so that a copy
+    elsewhere takes no text from the mixture. Null and empty texts and texts of 0 tokens don't come out. Equal texts meet as
     a 128-bit hash and a length; the aggregation combines before the shuffle.
     """
+    if targets is not None:
+        docs = docs.join(targets.groupBy("source").agg(F.sum("target_share").alias("__share")).where(F.col("__share") > 0), "source", "left_semi")
     return (
         docs.where(F.col("n_tokens") > 0)
         .groupBy(F.md5(F.col("text")).alias("__hash"), F.char_length("text").alias("__length"))

@@ -142,8 +142,9 @@ def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    unique = cut_lineage(mixing.unique_texts(_sized(spark, sf_dir)))  # tokens are counted once
-    planned = mixing.plan(unique, table(spark, sf_dir, "mix_targets"))
+    targets = table(spark, sf_dir, "mix_targets")
+    unique = cut_lineage(mixing.unique_texts(_sized(spark, sf_dir), targets))  # tokens are counted once
+    planned = mixing.plan(unique, targets)
     return mixing.mix(unique, planned), planned
 
 

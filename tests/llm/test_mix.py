@@ -38,6 +38,15 @@ def test_shares_caps_and_order(spark):
     assert mix.shares(mix.mix(unique.limit(0), mix.plan(unique.limit(0), targets)), planned).agg(F.sum("tokens")).first()[0] == 0
 
 
+def test_a_copy_in_an_untargeted_source_takes_no_text(spark):
+    data = [(1, None, "x", 5), (2, "none", "y", 6), (3, "zero", "z", 7), (4, "b", "x", 5), (5, "a", "x", 5), (6, "a", "y", 6), (7, "a", "z", 7), (8, "none", "w", 9)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 2), ("zero", 0.0, 1), ("none", None, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    unique = mix.unique_texts(docs, targets)
+    assert sorted((r.doc_id, r.source) for r in unique.collect()) == [(4, "b"), (6, "a"), (7, "a")]
+    assert {r.source: r.available for r in mix.plan(unique, targets).collect()} == {"a": 13, "b": 5, "zero": 0, "none": 0}
+
+
 def test_tokens(spark):
     texts = ["Hello world, it's 42!", "", None, "naïve 😀 " * 50]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(n_tokens(F.col("t"))).collect()
