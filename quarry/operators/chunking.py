@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -97,19 +98,64 @@ def script_symbols(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return lines.select(*keys, "line_no", kind.alias("symbol_type"), name.alias("symbol_name")).where(F.col("symbol_name").isNotNull())
 
 
+_PYTHON_HEAD = re.compile(r"(?:async[ \t]+def|def|class)[ \t]+\w")
+
+
+def _parsed(text: str) -> ast.Module | None:
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _cut_symbols(text: str) -> list[tuple[str, str, int, int]]:
+    """Symbols of a text that doesn't parse as a whole: every header that parses, its block by indentation."""
+    lines = re.split(r"\r\n|\r|\n", text)
+    shown = text
+    for quotes in ('"""', "'''"):
+        if text.count(quotes) % 2 == 0:  # else it isn't known which side of them is a string
+            shown = re.sub(f"{quotes}.*?{quotes}", lambda m: "0" + re.sub(r"[^\r\n]", "", m.group()), shown, flags=re.S)
+    heads = [bool(_PYTHON_HEAD.match(x.lstrip())) for x in re.split(r"\r\n|\r|\n", shown)]
+    out = []
+    for i in (i for i, head in enumerate(heads) if head):
+        for j in range(i, len(lines)):
+            if j > i and heads[j]:
+                break
+            header = "\n".join([lines[i].lstrip(), *lines[i + 1 : j + 1]])
+            whole = _parsed(header)
+            tree = whole or _parsed(header + "\n pass")
+            if tree is None:
+                continue
+            end, inner = j, None
+            # a block ends before the first line that stands left of its body: a stripped first line has lost its own place
+            for k in range(j + 1, len(lines)) if whole is None else ():
+                indent = len(lines[k]) - len(lines[k].lstrip())
+                if not lines[k].strip():
+                    continue
+                inner = indent if inner is None else inner
+                if indent < inner or inner == 0 or i and indent <= len(lines[i]) - len(lines[i].lstrip()):
+                    break
+                end = k
+            node = tree.body[0]
+            out.append(("class" if isinstance(node, ast.ClassDef) else "function", node.name, i + 1, end + 1))
+            break
+    return out
+
+
 def python_symbols(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """``keys..., symbol_type, symbol_name, start_line, end_line`` of all functions and classes of Python texts.
 
-    Decorators don't belong to a symbol. Texts that don't parse, and null texts, have no symbols.
+    Decorators don't belong to a symbol. A text that doesn't parse, such as a window that begins or ends inside a
+    block, gives the symbols whose headers parse, as far as their blocks go in it. Null texts have no symbols.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                try:
-                    tree = ast.parse(row[-1])
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                tree = _parsed(row[-1])
+                if tree is None:
+                    out += [(*row[:-1], *symbol) for symbol in _cut_symbols(row[-1])]
                     continue
                 for node in ast.walk(tree):
                     if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):

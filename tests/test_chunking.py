@@ -29,6 +29,19 @@ def test_symbols(spark):
     assert sorted((r.symbol_name, r.start_line, r.end_line) for r in chunking.python_symbols(df, ["k"], "t").collect()) == [("Beta", 5, 7), ("alpha", 2, 3), ("m", 6, 7)]
 
 
+def test_symbols_of_windows_that_begin_or_end_inside_a_block(spark):
+    begins = "return 1\n\n    def m(self,\n          a=1):\n        x = a\n\n        return x\n\n    async def n(self):\n        pass\n\nclass Gamma:\n    def k(self): return 2"
+    ends = "class Delta(Base):\n    def one(self):\n        pass\n\n    def two(self):\n        call(\n            1,"
+    stripped = 'def first(self):\n        """\n        def fake(): no\n        """\n        return 1\n\n    def second(self):\n        return 2'
+    df = spark.createDataFrame([(1, begins), (2, ends), (3, stripped), (4, "def broken(:\n  x")], "k int, t string")
+    got = sorted((r.k, r.symbol_name, r.symbol_type, r.start_line, r.end_line) for r in chunking.python_symbols(df, ["k"], "t").collect())
+    assert got == [
+        (1, "Gamma", "class", 12, 13), (1, "k", "function", 13, 13), (1, "m", "function", 3, 7), (1, "n", "function", 9, 10),
+        (2, "Delta", "class", 1, 7), (2, "one", "function", 2, 3), (2, "two", "function", 5, 7),
+        (3, "first", "function", 1, 5), (3, "second", "function", 7, 8),
+    ]
+
+
 def test_latest_row_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, "z")], "k string, t int, v string")
     assert sorted(tuple(r) for r in chunking.latest_by_key(df, ["k"], ["t"]).collect()) == [("a", 2, "y"), ("b", None, "z")]
