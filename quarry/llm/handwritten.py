@@ -1,8 +1,8 @@
 """Problem 5: generated, minified, vendored and bulk data files told apart from hand-written source.
 
 Every chunk is reduced to layout statistics inside the JVM: line lengths, shares of white space, letters and
-digits, number literals and encoded runs, notices in its leading comments and the shapes of its lines, as a
-64-bit set. Statistics of chunks add up to those of their file with map-side combining, whatever its size, and
+digits, number literals and encoded runs, notices in its leading comments and the shapes of its lines, as
+64-bit hashes. Statistics of chunks add up to those of their file with map-side combining, whatever its size, and
 thresholds per language decide.
 """
 
@@ -58,6 +58,19 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
 
 
+def _filled(text: Column) -> Column:
+    """The lines of ``text`` that aren't blank, each run of white space as one space."""
+    return F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
+
+
+def shape_counts(chunks: DataFrame) -> DataFrame:
+    """``repo_id, file_path, n_shapes``: the number of different line shapes of each file; one row a shape is shuffled."""
+    text = F.col("chunk_text")
+    shapes = F.array_distinct(F.transform(_filled(F.regexp_replace(F.regexp_replace(text, r"[\p{L}]+", "a"), r"\d+", "9")), lambda x: F.xxhash64(x)))
+    kept = chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & text.isNotNull())
+    return kept.select("repo_id", "file_path", F.explode(shapes).alias("shape")).distinct().groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("n_shapes"))
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """One row per row of ``chunks`` with repo, path and text: the additive layout statistics."""
     text = F.col("chunk_text")
@@ -65,9 +78,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     def left_by(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(text, pattern, ""))
 
-    shape = F.regexp_replace(F.regexp_replace(text, r"[\p{L}]+", "a"), r"\d+", "9")
-    lines = F.filter(F.transform(F.split(shape, r"\R"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
-    bits = F.aggregate(lines, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseOR(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.xxhash64(x), F.lit(62))).cast("long")))
+    lines = _filled(text)
     head = F.substring(text, 1, 1500)
     top = F.coalesce(F.col("start_line"), F.lit(1)) <= 3
     return chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & text.isNotNull()).select(
@@ -79,7 +90,6 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
         (F.char_length(text) - left_by(r"[A-Za-z0-9+/_-]{60,}={0,2}|\b[0-9a-f]{16,}\b|(?:\\x[0-9a-fA-F]{2}){8,}")).cast("long").alias("encoded_chars"),
         F.array_max(F.transform(F.split(text, r"\R"), lambda x: F.char_length(x))).alias("max_line"),
         F.size(lines).cast("long").alias("lines"),
-        bits.alias("shapes"),
         (top & head.rlike(GENERATED_NOTICE)).alias("generated_notice"),
         (top & head.rlike(VENDOR_NOTICE)).alias("vendor_notice"),
         (top & head.rlike(LOCK_CONTENT)).alias("lock_content"),
@@ -98,9 +108,9 @@ def file_statistics(chunks: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("chars", "visible", "alnum", "number_chars", "encoded_chars")],
         F.sum("lines").alias("chunk_lines"), F.max("end_line").cast("long").alias("last_line"),
         F.max("max_line").alias("max_line"),
-        F.bit_count(F.bit_or("shapes")).alias("n_shapes"),
         *[F.bool_or(c).alias(c) for c in ("generated_notice", "vendor_notice", "lock_content")],
     )
+    total = total.join(shape_counts(chunks), ["repo_id", "file_path"], "left").withColumn("n_shapes", F.coalesce("n_shapes", F.lit(0)))
     return total.withColumn("lines", F.least("chunk_lines", "last_line")).select(
         "*", _share("chars", "chunk_lines").alias("mean_line"), (1 - _share("visible", "chars")).alias("space_share"), _share("alnum", "chars").alias("alnum_share"),
         _share("number_chars", "visible").alias("number_share"), _share("encoded_chars", "visible").alias("encoded_share"),

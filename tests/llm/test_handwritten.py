@@ -36,3 +36,12 @@ def test_a_file_in_many_chunks_is_one(spark):
     parts = [("r", "a.ts", "typescript", 3 * i + 1, 3 * i + 3, f"export function getField{i}(msg) {{\n  return msg.field({i}, 'f{i}');\n}}", 0, "") for i in range(12)]
     rows = classified_files(spark.createDataFrame(parts, CHUNK)).collect()
     assert [(r.origin, r.lines, r.n_shapes) for r in rows] == [("generated", 36, 3)]
+
+
+def test_shapes_are_counted_exactly(spark):
+    shapes = ["a" + c * n for n in range(1, 11) for c in "+-*/%&|^"]
+    rows = [("r", "a.py", "python", 1 + 40 * i, 40 * i + 40, "\n".join(shapes[40 * i : 40 * i + 40]), 0, "") for i in range(2)]
+    rows += [("r", f"{k}.py", "python", 1, 60, "\n".join(shapes[(j + k) % 80] for j in range(9) for _ in range(6)), 0, "") for k in range(80)]
+    got = {r.file_path: (r.n_shapes, r.origin) for r in classified_files(spark.createDataFrame(rows + rows[:1], CHUNK)).collect()}
+    assert got.pop("a.py") == (80, None)
+    assert set(got.values()) == {(9, None)}
