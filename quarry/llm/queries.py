@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import canon, docpairs, handwritten
@@ -34,14 +34,12 @@ def p1_code_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo_id, day, latency_ms`` of every distinct eval item; impossible values are null, nanoseconds converted."""
-    items = table(spark, sf_dir, "eval_items").select("eval_id", "item_no", "latency_ms")
+    items = table(spark, sf_dir, "eval_items").select("eval_id", "item_no", "latency_ms").dropDuplicates(["eval_id", "item_no"])
     runs = table(spark, sf_dir, "evals").select("eval_id", "repo_id", "created_at").dropDuplicates(["eval_id"])
     ms = F.col("latency_ms")
     day = F.date_from_unix_date(F.floor(F.unix_micros("created_at") / 86_400_000_000).cast("int"))
     return (
-        items.repartition("eval_id")  # one shuffle serves the deduplication and the join
-        .dropDuplicates(["eval_id", "item_no"])
-        .join(runs, "eval_id", "left")
+        items.join(runs, "eval_id", "left")
         .select("repo_id", day.alias("day"), F.when(ms < 0, None).when(ms >= NANOSECONDS_FROM, ms / 1e6).otherwise(ms.cast("double")).alias("latency_ms"))
     )
 
@@ -50,16 +48,35 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.sketch(_latencies(spark, sf_dir), F.col("latency_ms"), {"repo_id": F.col("repo_id"), "day": F.col("day")})
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    """Percentiles with six decimals: latencies are 0 or at least 1 ms, so these stay within the bound."""
+    return found.withColumns({name: F.round(name, 6) for name in PERCENTILES})
+
+
 def p2_latency_percentiles_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(_daily(spark, sf_dir), ["repo_id", "day"], PERCENTILES)
+    return _shown(quantiles.percentiles(_daily(spark, sf_dir), ["repo_id", "day"], PERCENTILES))
 
 
 def p2_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.merge([_daily(spark, sf_dir)], ["repo_id"]), ["repo_id"], PERCENTILES)
+    return _shown(quantiles.percentiles(quantiles.merge([_daily(spark, sf_dir)], ["repo_id"]), ["repo_id"], PERCENTILES))
+
+
+def p2_error_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository: whether each percentile of the merged daily sketches is within the stated error of the exact one."""
+    counts = _latencies(spark, sf_dir).where(F.col("latency_ms").isNotNull()).groupBy("repo_id", "latency_ms").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy("repo_id")
+    upto = F.sum("c").over(group.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.select("repo_id", "latency_ms", upto.alias("upto"), F.sum("c").over(group).alias("whole"))
+    exact = placed.groupBy(F.col("repo_id").alias("repo")).agg(
+        F.max("whole").alias("rows"), *[F.min(F.when(F.col("upto") > F.floor(q * (F.col("whole") - 1)), F.col("latency_ms"))).alias(f"exact_{name}") for name, q in PERCENTILES.items()]
+    )
+    found = p2_latency_percentiles(spark, sf_dir).join(exact, F.col("repo_id").eqNullSafe(F.col("repo")), "full")
+    within = [(F.abs(F.col(name) - F.col(f"exact_{name}")) <= quantiles.ACCURACY * F.col(f"exact_{name}")).alias(f"{name}_within") for name in PERCENTILES]
+    return found.select("repo_id", "n", F.col("rows").alias("n_exact"), *within)
 
 
 def _p2_sql(keys: str) -> str:
-    gamma = "(1.01 / 0.99)"
+    gamma = repr(quantiles.gamma_of(quantiles.ACCURACY))
     wanted = ", ".join(f"round(min(CASE WHEN upto > floor({q} * (whole - 1)) THEN middle END), 6) AS {name}" for name, q in PERCENTILES.items())
     return f"""
     WITH items AS (SELECT DISTINCT ON (eval_id, item_no) eval_id, item_no, latency_ms FROM eval_items),
@@ -69,16 +86,21 @@ def _p2_sql(keys: str) -> str:
         CASE WHEN latency_ms < 0 THEN NULL WHEN latency_ms >= {NANOSECONDS_FROM} THEN latency_ms / 1e6 ELSE latency_ms::DOUBLE END AS v
       FROM items LEFT JOIN runs USING (eval_id)),
     counts AS (
-      SELECT {keys}, CASE WHEN v < 1e-9 THEN 0 ELSE 1 END AS side,
-        CASE WHEN v < 1e-9 THEN 0 ELSE ceil(ln(v) / ln({gamma})) END AS bucket, count(*) AS n
+      SELECT {keys}, CASE WHEN v = 0 THEN 0 ELSE 1 END AS side,
+        CASE WHEN v = 0 THEN 0 ELSE ceil(ln(v) / ln({gamma})) END AS bucket, count(*) AS n
       FROM clean WHERE v IS NOT NULL GROUP BY ALL),
     ranked AS (
       SELECT {keys}, sum(n) OVER (PARTITION BY {keys} ORDER BY side * (bucket + 4194304)) AS upto,
-        sum(n) OVER (PARTITION BY {keys}) AS whole, side * pow({gamma}, bucket) * (2 / ({gamma} + 1)) AS middle
+        sum(n) OVER (PARTITION BY {keys}) AS whole, side * 2 * pow({gamma}, bucket) / ({gamma} + 1) AS middle
       FROM counts)
     SELECT {keys}, CAST(max(whole) AS BIGINT) AS n, {wanted} FROM ranked GROUP BY {keys}"""
 
 
+P2_WITHIN_SQL = f"""
+    WITH items AS (SELECT DISTINCT ON (eval_id, item_no) eval_id, latency_ms FROM eval_items), runs AS (SELECT DISTINCT ON (eval_id) eval_id, repo_id FROM evals)
+    SELECT repo_id, count(*) AS n, count(*) AS n_exact, {', '.join(f'true AS {name}_within' for name in PERCENTILES)}
+    FROM items LEFT JOIN runs USING (eval_id) WHERE latency_ms >= 0 GROUP BY repo_id"""
+
 CHUNK_COLUMNS = ("id", "repo_id", "file_path", "start_line", "end_line", "chunk_text")
 
 
@@ -157,6 +179,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
+def p7_share_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: whether its share is met within 2 % or all that it may give is used, and whether its maximum is kept."""
+    mixed, planned = _mixture(spark, sf_dir)
+    found = mixing.shares(mixed, planned).join(planned.select("source", "available"), "source")
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.02 * F.col("target_share")
+    return found.select("source", "target_share", (near | (F.col("tokens") == F.col("available") * F.col("max_repeats"))).alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "value").distinct()
 
@@ -169,9 +199,9 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_code_descriptions, p2_latency_percentiles_daily, p2_latency_percentiles, p3_found, p3_pieces,
+        p1_found, p1_code_descriptions, p2_latency_percentiles_daily, p2_latency_percentiles, p2_error_bounds, p3_found, p3_pieces,
         p4_found, p4_contents, p5_found, p5_file_origins,
-        p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares, p8_found, p8_redacted,
+        p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares, p7_share_check, p8_found, p8_redacted,
     )
 }
 
@@ -184,5 +214,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_latency_percentiles_daily": _p2_sql("repo_id, day"),
         "p2_latency_percentiles": _p2_sql("repo_id"),
+        "p2_error_bounds": P2_WITHIN_SQL,
         "p3_found": P3_SQL,
+        "p7_share_check": "SELECT source, target_share, true AS share_met, true AS cap_kept FROM mix_targets",
     }

@@ -28,7 +28,18 @@ def test_error_bound_and_merging(spark):
         values = [v for k, _, v in data if k == key and v is not None and abs(v) < float("inf")]
         assert row.n == len(values)
         for name, q in wanted.items():
-            assert row[name] == pytest.approx(exact(values, q), rel=0.0101, abs=1e-6)
+            assert row[name] == pytest.approx(exact(values, q), rel=0.01, abs=0)
+
+
+def test_small_and_large_values_keep_their_relative_error(spark):
+    random.seed(3)
+    for low, high in ((-20, -12), (-300, -290), (300, 308)):
+        values = [10 ** random.uniform(low, high) for _ in range(500)]
+        df = spark.createDataFrame([(v,) for v in values] + [(0.0,)], "v double")
+        row = quantiles.percentiles(quantiles.sketch(df, F.col("v"), {}), [], {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}).first()
+        assert row.n == 501 and row.p0 == 0
+        for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99), ("p100", 1.0)):
+            assert row[name] == pytest.approx(exact([0.0, *values], q), rel=0.01, abs=0)
 
 
 def test_empty(spark):
