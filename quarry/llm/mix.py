@@ -1,50 +1,67 @@
 """Problem 7: sources mixed to target shares of the total size.
 
 Poisson replication: each text occurs N times, N drawn from a Poisson distribution by inverting it at a number
-that a hash of the seed and the document gives, cut off at the source's maximum. The Poisson mean of a source is
-chosen so that the mean of the cut-off number equals the repetition rate that its target share asks for.
+that a hash of the seed and the document gives, cut off at the source's maximum. As that number is fixed, the
+tokens a source really gives are a step function of its Poisson mean that only rises. It is known from the tokens
+per value of the number, of which there are ``LEVELS``, so the mean is solved for the target itself, not for an
+expectation. Where one text is too large a step, other turns of the numbers are tried.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Values of the hashed number, and turns of it that are tried for a source.
+LEVELS = 1 << 16
+TURNS = 64
 
-def _capped_mean(rate: float, most: int) -> float:
-    """Mean of min(N, most) for N of a Poisson distribution."""
-    p, below, mean = math.exp(-rate), 0.0, 0.0
-    for k in range(most):
-        below += p
-        mean += 1 - below
-        p *= rate / (k + 1)
-    return mean
 
+def chances(rate: float, most: int) -> np.ndarray:
+    """The chances that a Poisson number of mean ``rate`` is at most 0, 1, ... ``most - 1``."""
+    if most <= 0:
+        return np.zeros(0)
+    if rate <= 0:
+        return np.ones(most)
+    k = np.arange(most, dtype="float64")
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])
+    return np.minimum(1.0, np.cumsum(np.exp(k * math.log(rate) - rate - factorials)))
 
-def steps(wanted: float, most: int) -> list[float]:
-    """The chances that a document occurs at most 0, 1, ... ``most - 1`` times, for ``wanted`` occurrences on average.
 
-    ``wanted`` of 0 or less gives no occurrence, of ``most`` or more always ``most``.
+def solved(levels: np.ndarray, tokens: np.ndarray, wanted: float, most: int, turns: int = TURNS) -> tuple[int, list[float]]:
+    """Turn and chances that give as nearly ``wanted`` tokens as can be, from the ``tokens`` at each of ``levels``.
+
+    ``wanted`` of 0 or less gives no occurrence, of ``most`` times all tokens or more always ``most``.
     """
-    if most <= 0 or wanted <= 0:
-        return [1.0] * max(most, 0)
-    if wanted >= most:
-        return [0.0] * most
-    low, high = 0.0, 1.0
-    while _capped_mean(high, most) < wanted and high < 600:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _capped_mean(mid, most) < wanted else (low, mid)
-    out, p, below = [], math.exp(-high), 0.0
-    for k in range(most):
-        below += p
-        out.append(min(1.0, below))
-        p *= high / (k + 1)
-    return out
+    if most <= 0 or wanted <= 0 or not len(levels):
+        return 0, [1.0] * max(most, 0)
+    if wanted >= most * tokens.sum():
+        return 0, [0.0] * most
+    best: tuple[float, int, list[float]] | None = None
+    for turn in range(turns):
+        order = np.argsort(turned := (levels + turn * (LEVELS // turns)) % LEVELS)
+        numbers, above = (turned[order] + 0.5) / LEVELS, np.concatenate([np.cumsum(tokens[order][::-1])[::-1], [0]])
+
+        def given(rate: float) -> float:
+            return float(above[np.searchsorted(numbers, chances(rate, most), side="right")].sum())
+
+        low, high = 0.0, 1.0
+        while given(high) < wanted:
+            low, high = high, high * 2
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if given(middle) < wanted else (low, middle)
+        for rate in (low, high):
+            off = abs(given(rate) - wanted)
+            if best is None or off < best[0]:
+                best = (off, turn, chances(rate, most).tolist())
+        if best[0] <= wanted * 1e-3:
+            break
+    return best[1], best[2]
 
 
 def unique_texts(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -65,13 +82,20 @@ def unique_texts(docs: DataFrame, targets: DataFrame | None = None) -> DataFrame
     )
 
 
-def plan(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """``source, target_share, max_repeats, available, wanted, steps`` per source with a target.
+def level(seed: int, document: str = "doc_id") -> Column:
+    """The hashed number of a document, in ``LEVELS``."""
+    return F.xxhash64(F.lit(seed), document).bitwiseAND(F.lit(LEVELS - 1))
+
+
+def plan(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42) -> DataFrame:
+    """``source, target_share, max_repeats, available, wanted, turn, steps`` per source with a target.
 
     ``total`` tokens are wanted in all; by default as many as the source that runs out first allows, so that
-    every share can be met. Targets of null source or share, or without any text, count as 0 available.
+    every share can be met. Targets of null source or share, or without any text, count as 0 available. The mean
+    of a source is solved over its tokens per level: at most ``LEVELS`` rows, however many texts it has.
     """
-    have = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    per_level = docs.groupBy("source", level(seed).alias("level")).agg(F.sum("n_tokens").alias("tokens"))
+    have = per_level.groupBy("source").agg(F.sum("tokens").alias("available"))
     goal = (
         targets.where(F.col("source").isNotNull())
         .groupBy("source")
@@ -84,25 +108,31 @@ def plan(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
         goal = goal.withColumn("__total", goal.agg(F.coalesce(F.min(reachable), F.lit(0.0))).scalar())
     else:
         goal = goal.withColumn("__total", F.lit(float(total)))
+    goal = goal.withColumn("wanted", F.col("target_share") * F.col("__total")).drop("__total")
 
-    @F.pandas_udf("array<double>")
-    def chances(rate: pd.Series, most: pd.Series) -> pd.Series:
-        return pd.Series([steps(float(r), int(m)) for r, m in zip(rate, most)])
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, known = pdf.iloc[0], pdf[pdf["level"].notna()]
+        turn, steps = solved(known["level"].to_numpy("int64"), known["tokens"].to_numpy("float64"), float(first["wanted"]), int(first["max_repeats"]))
+        return pd.DataFrame([[*first[names], turn, steps]], columns=[*names, "turn", "steps"])
 
-    rate = F.when(F.col("available") > 0, F.col("target_share") * F.col("__total") / F.col("available")).otherwise(0.0)
-    return goal.withColumn("wanted", rate).withColumn("steps", chances("wanted", "max_repeats")).drop("__total")
+    names = ["source", "target_share", "max_repeats", "available", "wanted"]
+    return goal.join(per_level, "source", "left").groupBy("source").applyInPandas(
+        solve, "source string, target_share double, max_repeats int, available bigint, wanted double, turn int, steps array<double>"
+    )
 
 
 def mix(docs: DataFrame, planned: DataFrame, seed: int = 42) -> DataFrame:
     """``doc_id, copy_no, source, n_tokens, position_key`` of every occurrence in the mixture.
 
-    Sorting by ``position_key``, a hash of seed, document and copy number, shuffles the mixture globally; its
-    range partitions can't be skewed by a hot source. Documents of sources without a target don't occur.
+    ``seed`` is that of the plan. Sorting by ``position_key``, a hash of seed, document and copy number, shuffles the
+    mixture globally; its range partitions can't be skewed by a hot source. Documents of sources without a target
+    don't occur.
     """
-    chance = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / float(1 << 52)
+    turned = F.pmod(level(seed) + F.col("turn") * F.lit(LEVELS // TURNS), F.lit(LEVELS))
     return (
-        docs.join(planned.select("source", "steps"), "source")
-        .withColumn("__times", F.size(F.filter("steps", lambda s: s < chance)))
+        docs.join(planned.select("source", "turn", "steps"), "source")
+        .withColumn("__number", (turned + 0.5) / LEVELS)
+        .withColumn("__times", F.size(F.filter("steps", lambda s: s < F.col("__number"))))
         .where(F.col("__times") > 0)
         .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("copy_no"), "source", "n_tokens")
         .withColumn("position_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,13 +8,26 @@ from quarry.llm import mix
 from quarry.llm.tokens import encoding, n_tokens
 
 
-def test_steps_have_the_wanted_mean():
-    for most in (1, 2, 5):
-        for wanted in (0.01, 0.4, 0.95 * most):
-            chances = mix.steps(wanted, most)
-            assert sum(1 - c for c in chances) == pytest.approx(wanted, rel=1e-6)
-            assert chances == sorted(chances)
-    assert mix.steps(0, 3) == [1.0] * 3 and mix.steps(5, 3) == [0.0] * 3 and mix.steps(1, 0) == []
+def test_chances_are_those_of_a_poisson_number():
+    for rate in (0.01, 1.7, 40.0, 2500.0):
+        most = int(rate * 3) + 5
+        p = mix.chances(rate, most)
+        assert list(p) == sorted(p) and sum(1 - x for x in p) == pytest.approx(rate, rel=1e-3)
+    assert list(mix.chances(0, 2)) == [1, 1] and len(mix.chances(1, 0)) == 0
+
+
+def test_the_mean_is_solved_for_real_tokens():
+    random.seed(1)
+    for n, most in ((40, 3), (3000, 1), (3000, 5), (200, 1200)):
+        levels = np.unique([random.randrange(mix.LEVELS) for _ in range(n)])
+        tokens = np.array([int(random.paretovariate(1.1) * 20) for _ in levels], dtype="float64")
+        for wanted in (0.1, 0.7 * most):
+            turn, steps = mix.solved(levels, tokens, wanted * tokens.sum(), most)
+            numbers = ((levels + turn * (mix.LEVELS // mix.TURNS)) % mix.LEVELS + 0.5) / mix.LEVELS
+            given = sum(t * sum(s < u for s in steps) for t, u in zip(tokens, numbers))
+            assert given == pytest.approx(wanted * tokens.sum(), rel=0.02)
+    assert mix.solved(levels, tokens, 0, 3) == (0, [1.0] * 3) and mix.solved(levels, tokens, 1e12, 3) == (0, [0.0] * 3)
+    assert mix.solved(levels[:0], tokens[:0], 5, 1) == (0, [1.0]) and mix.solved(levels, tokens, 5, 0) == (0, [])
 
 
 def test_shares_caps_and_order(spark):
@@ -29,7 +43,7 @@ def test_shares_caps_and_order(spark):
     report = {r.source: r for r in mix.shares(mixed, planned).collect()}
     assert set(report) == {"hot", "a", "b", "rare", "gone"}
     for name, share, most in (("hot", 0.3, 2), ("a", 0.4, 1), ("b", 0.25, 3), ("rare", 0.05, 4)):
-        assert report[name].most_repeats <= most and report[name].actual_share == pytest.approx(share, rel=0.25)
+        assert report[name].most_repeats <= most and report[name].actual_share == pytest.approx(share, rel=0.02)
     times = mixed.join(docs, "doc_id").groupBy("text").count().agg(F.max("count")).first()[0]
     assert times <= 4
     records = mix.shuffled(mixed, docs).select("position_key", "text").collect()
