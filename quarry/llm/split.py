@@ -28,6 +28,7 @@ PIECES = T.ArrayType(
             T.StructField("piece_text", T.StringType()),
             T.StructField("start_line", T.IntegerType()),
             T.StructField("end_line", T.IntegerType()),
+            T.StructField("n_pieces", T.IntegerType()),
         ]
     )
 )
@@ -119,27 +120,22 @@ def split_oversized(df: DataFrame, text: str, start_line: str, end_line: str, li
     no piece exceeds ``limit``. Rows of null, empty or short texts don't come out; a null ``start_line`` counts
     as 1; exact copies of a row come out as copies. Short rows never leave the JVM.
     """
+    names = [f.name for f in PIECES.elementType]
+
     @F.pandas_udf(PIECES)
     def pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, starts, ends in batches:
-            yield pd.Series(
-                [
-                    [
-                        dict(zip(("piece_no", "start_char", "piece_text", "start_line", "end_line"), p))
-                        for p in split_text(t, limit, overlap, int(s), None if pd.isna(e) else int(e))
-                    ]
-                    for t, s, e in zip(texts, starts, ends)
-                ]
-            )
+            cut = [split_text(t, limit, overlap, int(s), None if pd.isna(e) else int(e)) for t, s, e in zip(texts, starts, ends)]
+            yield pd.Series([[dict(zip(names, (*p, len(all_of_it)))) for p in all_of_it] for all_of_it in cut])
 
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, start_line, end_line)]
     cut = pieces(F.col(text), F.coalesce(F.col(start_line), F.lit(1)), F.col(end_line))
+    # every row has pieces; the outer form keeps the optimizer from splitting once more for a test of emptiness
     return (
         df.where(F.char_length(text) > limit)
-        .select(*kept, cut.alias("__pieces"))
-        .select(*kept, F.size("__pieces").alias("n_pieces"), F.explode("__pieces").alias("__piece"))
+        .select(*kept, F.explode_outer(cut).alias("__piece"))
         .select(
-            *kept, "n_pieces", "__piece.piece_no", "__piece.start_char", "__piece.piece_text",
+            *kept, "__piece.n_pieces", "__piece.piece_no", "__piece.start_char", "__piece.piece_text",
             F.col("__piece.start_line").alias("piece_start_line"), F.col("__piece.end_line").alias("piece_end_line"),
         )
     )

@@ -56,3 +56,9 @@ def test_stripped_lines_are_placed(spark):
     df = spark.createDataFrame([*rows, rows[1]], "id string, repo_id string, file_path string, start_line int, end_line int, chunk_text string")
     got = sorted((r.id, r.start_line, r.end_line) for r in aligned(df, 80, 20, 4000).distinct().collect())
     assert got == [("w1", 1, 80), ("w121", 121, 200), ("w61", 63, 140)]
+
+
+def test_long_texts_are_split_once(spark):
+    df = spark.createDataFrame([("a", "x y " * 3000, 1, 1)], "id string, chunk_text string, start_line int, end_line int")
+    cut = split_oversized(df, "chunk_text", "start_line", "end_line", 4000, 200).where("piece_no = 1").select("id")
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
