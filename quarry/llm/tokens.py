@@ -30,7 +30,10 @@ def encoding(path: str):
 
 
 def n_tokens(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of the whole text; 0 for null and empty texts. Arrow batches, one pass."""
+    """Number of tokens of the whole text; 0 for null and empty texts. Arrow batches, one pass.
+
+    Marked as not deterministic, so that the optimizer doesn't copy it into a filter and count everything twice.
+    """
     path = f"{folder}/{vocabulary}"
 
     @F.pandas_udf("long")
@@ -39,4 +42,4 @@ def n_tokens(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULAR
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)

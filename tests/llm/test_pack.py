@@ -4,7 +4,10 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quarry.llm.pack import pack, pack_sizes
+from quarry.llm.tokens import n_tokens
 
 
 def least_bins(sizes, capacity):
@@ -57,3 +60,9 @@ def test_contexts(spark):
             assert at == n
         assert sum(used.values()) / (len(used) * capacity) > 0.9
     assert pack(df.limit(0), [("small", 512, 0)]).count() == 0
+
+
+def test_tokens_are_counted_once(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    used = docs.withColumn("n_tokens", n_tokens(F.col("text"))).where(F.col("n_tokens") > 0).select("doc_id", F.col("n_tokens") + 1)
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
