@@ -25,3 +25,13 @@ def build_session(app: str = "quarry", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A scan of few large row groups leaves most cores idle in the work that follows it. Only such inputs are moved,
+    row by row; one that fills the cores, as any large table does, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
