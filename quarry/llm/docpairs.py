@@ -1,10 +1,10 @@
 """Problem 1: functions paired with their documentation.
 
-Each chunk is parsed once, inside Arrow batches: the syntax tree of a Python function gives the string that opens
-its body, and a scan of comments, decorations and declarations gives the comments that stand right above a
-declaration, for every language. Only descriptions and keys leave that pass. A function then meets the comment
-above it by the line it starts on (a comment that ends a neighbouring chunk) or by the text of its declaration
-and the lines where it can be (a comment inside an enclosing chunk, whose text was stripped).
+Each chunk is parsed into a syntax tree once, inside Arrow batches (``syntax``), and its function nodes are visited:
+a node gives the comment right above it, the string that opens its body and its range of lines. Only descriptions and
+keys leave that pass. A function then meets the comment above it by the line it starts on (a comment that ends a
+neighbouring chunk) or by its declaration and the lines where it can be (a node with a comment inside an enclosing
+chunk, whose text was stripped).
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.doctext import body_documentation, comments_above, declaration_key
+from quarry.llm.doctext import declaration_key, describe, nearest
+from quarry.llm.syntax import Function, Tree, parse
+from quarry.session import spread
 
 #: The symbol types of functions and methods.
 FUNCTION_TYPES = ("function", "method", "function_declaration", "method_declaration", "method_definition", "function_definition")
@@ -28,28 +30,41 @@ _EVENT = (
 )
 
 
+def _own(tree: Tree, text: str) -> Function | None:
+    """The function node that a chunk of one function begins with: nothing but comments stands before it."""
+    if not tree.functions:
+        return None
+    node = tree.functions[0]
+    before = text.split("\n", node.first)[: node.first]
+    return node if node.first == 0 or all(not x.strip() or x.lstrip()[:1] in "/*#-=@[" for x in before) else None
+
+
 def _events(batches: Iterator[pd.DataFrame], window: int, step: int) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _EVENT.split(", ")]
     for pdf in batches:
         out = []
         for repo, path, language, start, end, text, name, kind in zip(*(pdf[c] for c in pdf.columns)):
-            language = language or ""
             start = 1 if pd.isna(start) else int(start)
             end = start if pd.isna(end) else int(end)
             slack = max(0, end - start - text.count("\n"))  # blank lines that were stripped, on whichever side
-            found, tail, first = comments_above(text, language)
+            tree, lines = parse(text, language or ""), text.split("\n")
             if kind in FUNCTION_TYPES:
-                head = first[0] if first else 0
-                lines = text.split("\n", head + 1)
-                shared = (name, kind, start, end, start + head, start + head, body_documentation("\n".join(lines[head:]) if head else text, language))
-                out.append((repo, path, f"L{start}", "F", *shared))
-                out.append((repo, path, "D" + declaration_key(lines[head] if head < len(lines) else ""), "F", *shared))
+                node = _own(tree, text)
+                if node is not None:
+                    inside = describe(node.literal.split("\n"), marked=False) if node.literal else None
+                    at = start + node.line
+                    last = end if node.last + 1 >= len(lines) else start + node.last
+                    shared = (name, kind, start, last, at, at, inside)
+                    out.append((repo, path, f"L{start}", "F", *shared))
+                    out.append((repo, path, "D" + declaration_key(lines[node.line]), "F", *shared))
                 if end - start + 1 >= window:
                     out.append((repo, path, f"L{start + step}", "S", name, kind, start, end, None, None, None))
-            for i, key, text_above in found:
-                out.append((repo, path, "D" + key, "C", None, None, None, None, start + i, start + i + slack, text_above))
-            if tail:
-                out.append((repo, path, f"L{end + 1}", "C", None, None, None, None, 0, 1 << 30, tail))
+            for node in tree.functions:
+                if node.above and (said := nearest(node.above)):
+                    at = start + node.line
+                    out.append((repo, path, "D" + declaration_key(lines[node.line]), "C", None, None, None, None, at, at + slack, said))
+            if tree.tail and (said := nearest(tree.tail)):
+                out.append((repo, path, f"L{end + 1}", "C", None, None, None, None, 0, 1 << 30, said))
         yield pd.DataFrame(out, columns=names)
 
 
@@ -59,7 +74,8 @@ def documented_functions(chunks: DataFrame, window: int = 80, overlap: int = 20)
     One row per function or method with real documentation, above it or opening its body (the latter wins);
     ``start_line, end_line`` are those of its first row. A row that continues another one of the same symbol,
     ``window - overlap`` lines later, is no function of its own. Rows of null or empty text, null repo, path or
-    symbol name are passed over; repeated rows count once; comments of null language are read as C-like.
+    symbol name, and rows that begin with no function node, are passed over; repeated rows count once; texts of null
+    language are read as ones of braces.
     """
     needed = ["repo_id", "file_path", "language", "start_line", "end_line", "chunk_text", "symbol_name", "symbol_type"]
     source = chunks.select(*needed).where((F.col("chunk_text") != "") & F.col("repo_id").isNotNull() & F.col("file_path").isNotNull())
@@ -71,7 +87,7 @@ def documented_functions(chunks: DataFrame, window: int = 80, overlap: int = 20)
         return F.when(F.col("kind") == kind, F.struct(*columns))
 
     met = (
-        source.mapInPandas(events, _EVENT)
+        spread(source).mapInPandas(events, _EVENT)
         .groupBy("repo_id", "file_path", "key")
         .agg(
             F.collect_set(of("F", "symbol_name", "symbol_type", "start_line", "end_line", "low", "description")).alias("functions"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import re
+from hashlib import md5
 
 #: Words of description that real documentation has at least.
 LEAST_WORDS = 4
@@ -86,139 +86,6 @@ def nearest(units: list[list[str]]) -> str | None:
     return None
 
 
-_HASH_COMMENTS = {"python", "ruby", "yaml", "shell", "perl", "r", "elixir"}
-_NOT_DECLARED = re.compile(
-    r"\s*(?:if|for|while|switch|catch|return|else|try|do|case|throw|raise|with|import|from|require|package|print|del|assert|elif|except|unless|until|when)\b"
-)
-_DECLARED = {
-    "python": re.compile(r"\s*(?:async\s+)?def\s", re.I),
-    "ruby": re.compile(r"\s*(?:\w+\s+)*def\s", re.I),
-    "go": re.compile(r"\s*func\b", re.I),
-}
-#: A declaration on a line that ends with a semicolon: a body begun on it, or a type, a name and parameters only.
-_ENDED = re.compile(r"\)[^;]*\{|^\s*(?:[\w<>\[\],.?@]+\s+)+[\w$]+\s*\([^=]*\)\s*(?:throws [\w., ]+)?;\s*$")
-_DECORATION = re.compile(r"\s*(?:@[\w.]|\[\[|\[[A-Z]\w*[\](]|#\[|template\s*<)")
-
-
 def declaration_key(line: str) -> str:
-    return re.sub(r"\s+", "", line)[:120]
-
-
-def _may_declare(line: str, language: str) -> bool:
-    if language in _DECLARED:
-        return bool(_DECLARED[language].match(line))
-    if "(" not in line and "=" not in line or _NOT_DECLARED.match(line):
-        return False
-    return not line.rstrip().endswith(";") or bool(_ENDED.search(line))
-
-
-def comments_above(text: str, language: str) -> tuple[list[tuple[int, str, str]], str | None, list[int]]:
-    """Real documentation right above the declarations of a chunk.
-
-    Returns ``(line index, declaration key, description)`` per documented declaration, the description
-    that ends the chunk, if its last lines are a comment, and the indices of its first code line.
-    """
-    hashes = language in _HASH_COMMENTS
-    found: list[tuple[int, str, str]] = []
-    units: list[list[str]] = []
-    run = False  # the last unit is a run of line comments that may go on
-    depth = 0  # open parentheses of a decoration
-    first: list[int] = []
-    close, begin = text.find("*/"), text.find("/*")
-    block = not hashes and close >= 0 and (begin < 0 or close < begin)  # the chunk begins inside a comment
-    if block:
-        units.append([])
-    ruby = language == "ruby"
-    for i, line in enumerate(text.split("\n")):
-        s = line.strip()
-        if block:
-            units[-1].append(line)
-            if ("=end" if ruby else "*/") in s:
-                block = False
-            continue
-        if depth:
-            depth += s.count("(") - s.count(")")
-            continue
-        if not s:
-            run = False
-            continue
-        if s[0] in "#/-" or s[0] == "=":
-            if hashes and s[0] == "#" or not hashes and s.startswith("//") or language in ("sql", "lua") and s.startswith("--"):
-                if not run:
-                    units.append([])
-                units[-1].append(line)
-                run = True
-                continue
-            if ruby and s.startswith("=begin") or not hashes and s.startswith("/*"):
-                units.append([line])
-                run = False
-                if ruby or "*/" not in s[2:]:
-                    block = True
-                    continue
-                if s.endswith("*/"):
-                    continue
-        if s[0] in "@[#t" and _DECORATION.match(line) and (s[0] != "t" or s.endswith(">")):
-            depth = max(0, s.count("(") - s.count(")"))
-            run = False
-            if depth or s[0] != "@" or not re.search(r"\b(?:def|function|class|public|private|protected|static|async)\b", s):
-                continue
-        if not first:
-            first.append(i)
-        if units:
-            if _may_declare(line, language):
-                text_above = nearest(units)
-                if text_above:
-                    found.append((i, declaration_key(line), text_above))
-            units = []
-        run = False
-    return found, nearest(units) if units else None, first
-
-
-_HEADER_END = {"python": ":", "ruby": "\n"}
-
-
-def _after_header(text: str, language: str) -> int:
-    """Where the body of the function that begins a chunk starts; -1 if its header doesn't end there."""
-    end = _HEADER_END.get(language, "{")
-    depth = 0
-    start = text.find("def ") if language in _HEADER_END else 0
-    for m in re.compile(r"[()\[\]{}:\n]").finditer(text, max(0, start)):
-        c = m.group()
-        if c == end and depth == 0:
-            return m.end()
-        depth += (c in "([{") - (c in ")]}")
-        if m.start() > 4000:
-            break
-    return -1
-
-
-def body_documentation(text: str, language: str) -> str | None:
-    """The description in the string that opens the body of the function which begins ``text``.
-
-    Python's is taken from the syntax tree of the header and that string, so that prefixes, escapes and joined
-    strings are read as Python does; other languages allow a lone string as the first statement.
-    """
-    at = _after_header(text, language)
-    if at < 0:
-        return None
-    opening = re.compile(r"(?:\s|#[^\n]*\n|//[^\n]*\n)*([rRuUbB]{0,2})(\"\"\"|'''|\"|'|`)").match(text, at)
-    if not opening:
-        return None
-    quote = opening.group(2)
-    ending = text.find(quote, opening.end())
-    while ending > 0 and text[ending - 1] == "\\":
-        ending = text.find(quote, ending + 1)
-    if ending < 0:
-        return None
-    literal = text[opening.end() : ending]
-    if language == "python":
-        head = text[: ending + len(quote)].lstrip()
-        try:
-            node = ast.parse(head + "\n").body[0]
-        except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError):
-            node = None
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            literal = ast.get_docstring(node) or ""
-    elif not re.match(r"[ \t]*;?[ \t]*(?:\n|$)", text[ending + len(quote) :]):
-        return None
-    return describe(literal.split("\n"), marked=False)
+    """The whole of a declaration's first line, without white space, as a short key."""
+    return md5(re.sub(r"\s+", "", line).encode("utf-8", "surrogatepass")).hexdigest()
