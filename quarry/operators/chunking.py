@@ -7,20 +7,24 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import lines_of, stripped
 
-#: The languages whose symbols are found by line patterns, their shapes, and names that are none.
+#: The languages whose symbols are found by line patterns, the shapes of declarations in them, and names
+#: that are no methods.
 SCRIPT_LANGUAGES = ("javascript", "jsx", "typescript", "tsx")
 SCRIPT_SYMBOLS = {
-    "class": r"^\s*(?:export\s+(?:default\s+)?)?class\s+([A-Za-z_][A-Za-z0-9_]*)",
+    "class": r"^\s*(?:export\s+default\s+|export\s+)?class\s+([A-Za-z_][A-Za-z0-9_]*)\b",
     "function": r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(",
     "arrow": r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[A-Za-z_][A-Za-z0-9_]*)\s*=>",
-    "method": r"^\s*(?:(?:public|private|protected)\s+)?(?:static\s+)?(?:async\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*\(",
+    "method": r"^\s*(?:public|private|protected)?\s*(?:static\s+)?(?:async\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*\(",
 }
 NO_METHODS = ("catch", "constructor", "for", "if", "switch", "while")
+#: Fixed value: white space in these shapes, as Unicode has it.
+SCRIPT_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+REGION = "struct<symbol_type:string,symbol_name:string,first:int,last:int>"
 
 
 def line_windows(df: DataFrame, text: str, size: int, overlap: int, first_line: str | None = None) -> DataFrame:
@@ -36,7 +40,8 @@ def line_windows(df: DataFrame, text: str, size: int, overlap: int, first_line:
     base = (F.col(first_line) if first_line else F.lit(1)) - 1
     n = F.size("__lines")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
-    cut = df.select(*kept, base.alias("__base"), lines_of(F.col(text)).alias("__lines")).where(n > 0).withColumn("__k", F.explode(F.sequence(F.lit(0), last)))
+    # the outer form keeps the optimizer from cutting texts into lines once more for a test of emptiness
+    cut = df.select(*kept, base.alias("__base"), lines_of(F.col(text)).alias("__lines")).where(F.col(text) != "").withColumn("__k", F.explode_outer(F.sequence(F.lit(0), last)))
     begin = F.col("__k") * step
     return cut.select(
         *kept,
@@ -46,25 +51,45 @@ def line_windows(df: DataFrame, text: str, size: int, overlap: int, first_line:
     ).where(F.col("window_text") != "")
 
 
-def uncovered(regions: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """``keys..., start_line, end_line`` of the maximal runs of lines that no region of a file covers, up to its last.
+def uncovered(regions: DataFrame, keys: Sequence[str], start: str, end: str, last_line: str | None = None) -> DataFrame:
+    """``keys..., start_line, end_line`` of the maximal runs of lines that no region of a file covers.
 
-    ``regions`` has the line ranges of a file; the gaps come from a running maximum, no line is spelt out.
+    ``regions`` has the line ranges of a file; the gaps come from a running maximum, no line is spelt out. The run
+    after the last region ends at the greatest ``last_line`` of the file's rows, those without a range included;
+    without that column there is no such run. Files without any range have no runs.
     """
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(end).over(before), F.lit(0))
+    ranges = regions.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).alias("__from"), F.col(end).alias("__to"))
+    if last_line:  # a region of no line behind the last one closes the run
+        known = F.count_if(F.col(start).isNotNull() & F.col(end).isNotNull()) > 0
+        closed = regions.groupBy(*keys).agg(known.alias("__known"), F.max(last_line).alias("__last")).where(F.col("__known") & F.col("__last").isNotNull())
+        ranges = ranges.unionByName(closed.select(*keys, (F.col("__last") + 1).alias("__from"), F.col("__last").alias("__to")))
+    before = Window.partitionBy(*keys).orderBy("__from", "__to").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        regions.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-        .withColumn("__reach", reach)
-        .where(F.col(start) > F.col("__reach") + 1)
-        .select(*keys, (F.col("__reach") + 1).alias("start_line"), (F.col(start) - 1).alias("end_line"))
+        ranges.withColumn("__reach", F.coalesce(F.max("__to").over(before), F.lit(0)))
+        .where(F.col("__from") > F.col("__reach") + 1)
+        .select(*keys, (F.col("__reach") + 1).alias("start_line"), (F.col("__from") - 1).alias("end_line"))
     )
 
 
-def numbered_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """``keys..., line_no`` (from 1) and ``line``."""
-    return df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("__at", "line")).select(*keys, (F.col("__at") + 1).alias("line_no"), "line")
+def _braces(lines: Column) -> Column:
+    """Per line how many more braces open than close in it, and whether one opens."""
+
+    def counted(x: Column, brace: str) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit(brace), F.lit("")))
+
+    return F.transform(lines, lambda x: F.struct((counted(x, "{") - counted(x, "}")).alias("d"), F.contains(x, F.lit("{")).alias("o")))
+
+
+def _block_end(braces: Column, first: Column) -> Column:
+    """The first line from ``first`` on which all braces opened since are closed, else the last line."""
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth, opened, at = s["depth"] + x["d"], s["opened"] | x["o"], s["at"] + 1
+        return F.struct(depth.alias("depth"), opened.alias("opened"), at.alias("at"), F.when((s["end"] == 0) & opened & (depth <= 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(F.slice(braces, first, F.size(braces)), zero, step)["end"]
+    return F.when(end == 0, F.size(braces)).otherwise(first + end - 1)
 
 
 def block_ends(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -72,30 +97,47 @@ def block_ends(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
     Braces are counted by lines, in comments and strings too. Folded inside the row: a text is never spelt out.
     """
-    rows = F.transform(lines_of(F.col(text)), lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) - F.length(x) + F.length(F.replace(x, F.lit("}"), F.lit(""))))
-    opens = F.transform(lines_of(F.col(text)), lambda x: F.contains(x, F.lit("{")))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    found = df.select(*keys, _braces(lines_of(F.col(text))).alias("__braces")).where(F.size("__braces") > 0)
+    return found.select(*keys, F.size("__braces").alias("n_lines"), _block_end(F.col("__braces"), F.lit(1)).alias("block_end"))
 
-    def step(s, x):
-        depth = s["depth"] + x["d"]
-        opened = s["opened"] | x["o"]
-        at = s["at"] + 1
-        return F.struct(depth.alias("depth"), opened.alias("opened"), at.alias("at"), F.when((s["end"] == 0) & opened & (depth <= 0), at).otherwise(s["end"]).alias("end"))
 
-    paired = F.zip_with(rows, opens, lambda d, o: F.struct(d.alias("d"), o.alias("o")))
-    found = df.select(*keys, F.size(rows).alias("n_lines"), F.aggregate(paired, zero, step)["end"].alias("__end")).where(F.col("n_lines") > 0)
-    return found.select(*keys, "n_lines", F.when(F.col("__end") == 0, F.col("n_lines")).otherwise(F.col("__end")).alias("block_end"))
+def with_script_regions(df: DataFrame, lines: str, regions: str) -> DataFrame:
+    """``df`` with the array ``regions`` of script symbols, ``symbol_type, symbol_name, first, last``, in order of lines.
+
+    Inside the block of a class lines count as methods, outside as functions; classes count anywhere. Nothing leaves
+    the row. Null lines have no regions.
+    """
+
+    def named(line: Column, shape: str) -> Column:
+        return F.regexp_extract(line, SCRIPT_SYMBOLS[shape].replace(r"\s", SCRIPT_SPACE), 1)
+
+    def mark(line: Column, i: Column) -> Column:
+        method = named(line, "method")
+        function = F.coalesce(F.nullif(named(line, "function"), F.lit("")), named(line, "arrow"))
+        return F.struct((i + 1).alias("first"), named(line, "class").alias("class"), function.alias("function"), F.when(method.isin(*NO_METHODS), "").otherwise(method).alias("method"))
+
+    def region(kind: str, name: str):
+        def make(m: Column) -> Column:
+            return F.struct(F.lit(kind).alias("symbol_type"), m[name].alias("symbol_name"), m["first"].alias("first"), _block_end(F.col("__braces"), m["first"]).alias("last"))
+
+        return make
+
+    def within(m: Column) -> Column:
+        return F.exists("__classes", lambda c: m["first"].between(c["first"], c["last"]))
+
+    marked = df.withColumns({"__braces": _braces(F.col(lines)), "__marks": F.transform(lines, mark)})
+    classes = marked.withColumn("__classes", F.transform(F.filter("__marks", lambda m: m["class"] != ""), region("class", "class")))
+    methods = F.transform(F.filter("__marks", lambda m: (m["method"] != "") & within(m)), region("method", "method"))
+    functions = F.transform(F.filter("__marks", lambda m: (m["function"] != "") & ~within(m)), region("function", "function"))
+    keyed = F.transform(F.concat("__classes", methods, functions), lambda r: F.struct(r["first"].alias("a"), r["last"].alias("b"), r.alias("r")))
+    return classes.withColumn(regions, F.transform(F.array_sort(keyed), lambda k: k["r"])).drop("__braces", "__marks", "__classes")
 
 
 def script_symbols(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """``keys..., line_no, symbol_type, symbol_name`` of declaration lines; one row per line, the first shape counts."""
-    lines = numbered_lines(df, keys, text)
-    name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for shape, pattern in reversed(SCRIPT_SYMBOLS.items()):
-        got = F.regexp_extract("line", pattern, 1)
-        hit = (got != "") & (~got.isin(*NO_METHODS) if shape == "method" else F.lit(True))
-        name, kind = F.when(hit, got).otherwise(name), F.when(hit, F.lit("function" if shape == "arrow" else shape)).otherwise(kind)
-    return lines.select(*keys, "line_no", kind.alias("symbol_type"), name.alias("symbol_name")).where(F.col("symbol_name").isNotNull())
+    """``keys..., symbol_type, symbol_name, start_line, end_line`` of the classes, methods and functions of script texts."""
+    found = with_script_regions(df.select(*keys, lines_of(F.col(text)).alias("__lines")), "__lines", "__regions")
+    # the outer form keeps the optimizer from making all regions once more for a test of emptiness
+    return found.select(*keys, F.inline_outer("__regions")).where(F.col("first").isNotNull()).withColumnsRenamed({"first": "start_line", "last": "end_line"})
 
 
 _PYTHON_HEAD = re.compile(r"(?:async[ \t]+def|def|class)[ \t]+\w")

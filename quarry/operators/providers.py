@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.answers import UNKNOWN
+from quarry.operators.answers import UNKNOWN, prompt_blocks
 
 
 def rescored(pairs: DataFrame, query: Sequence[str], question: str, text: str, make_scorer, most: int) -> DataFrame:
@@ -47,6 +47,30 @@ def payload_text(payload: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "\n"), F.lit(""))
 
 
+def embedding_values(item: Column) -> Column:
+    """The vector of one item of an embedding response, in any of its three shapes; an error at run time if there is none."""
+    inner = "struct<values:array<float>>"
+    read = F.from_json(item, f"struct<values:array<float>,embedding:{inner},embeddings:{inner}>")
+    return F.coalesce(read["values"], read["embedding"]["values"], read["embeddings"]["values"], F.raise_error(F.lit("an embedding response has no vector")).cast("array<float>"))
+
+
+def answered_by_model(retrieved: DataFrame, query: Sequence[str], make_client) -> DataFrame:
+    """``query..., answer, citations, usage`` from a model's responses to the prompt blocks of each question.
+
+    ``retrieved`` has the chunk and its ``rank``; citations are the labelled blocks that the response names and the
+    prompt holds. One row per question with retrieved chunks.
+    """
+    place = F.struct("file_path", "start_line", "end_line")
+    lookup = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("C"), F.col("rank").cast("string")), place)))
+    prompts = prompt_blocks(retrieved, query).join(retrieved.groupBy(*query).agg(lookup.alias("lookup")), list(query))
+    question = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nContext:\n"), F.col("blocks")) if "question" in query else F.col("blocks")
+    said = generated(prompts.withColumn("prompt", question), "prompt", make_client)
+    parsed = said.withColumn("__said", structured_answer(payload_text(F.col("payload"))))
+    return parsed.select(
+        *query, F.col("__said.answer").alias("answer"), known_citations(F.col("__said.citations"), F.col("lookup")).alias("citations"), payload_usage(F.col("payload")).alias("usage")
+    )
+
+
 def payload_usage(payload: Column) -> Column:
     """Token counts of a response, in camel or snake case; zeros count as missing."""
     names = {"input_tokens": ("promptTokenCount", "prompt_token_count"), "output_tokens": ("candidatesTokenCount", "candidates_token_count"), "total_tokens": ("totalTokenCount", "total_token_count")}

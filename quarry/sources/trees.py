@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +71,14 @@ def decoded(content: Column) -> Column:
 def scan_tree(spark: SparkSession, url: str, max_file: int = MAX_FILE) -> DataFrame:
     """``file_path, language, length, text`` of the supported text files of a local folder, ordered by path.
 
-    File sizes are pushed down to the listing. Empty files, which the reader passes over, hold no chunks.
+    File sizes are pushed down to the listing. The reader passes over empty files, so these are added from the listing:
+    they hold no chunks but count as files.
     """
     root = resolved(url)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_file)
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.substring(F.col("path"), F.lit(1) + F.instr("path", root) + len(root), F.lit(1 << 20))
-    rows = files.select(relative.alias("file_path"), "length", "content")
+    listed = spark.createDataFrame([(unquote(urlparse(f).path),) for f in every.inputFiles()], "path string").select(relative.alias("file_path"))
+    empty = listed.join(every.select(relative.alias("file_path")), "file_path", "left_anti").select("file_path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    rows = every.where(F.col("length") <= max_file).select(relative.alias("file_path"), "length", "content").unionByName(empty)
     kept = rows.where(supported(F.col("file_path"), F.col("length"), max_file) & ~is_binary(F.col("content")))
     return kept.select("file_path", language(F.col("file_path")).alias("language"), "length", decoded(F.col("content")).alias("text")).orderBy("file_path")

@@ -13,16 +13,21 @@ def test_uncovered_regions(spark):
     assert sorted(tuple(r) for r in chunking.uncovered(df, ["k"], "s", "e").collect()) == [("f", 1, 3), ("f", 10, 11)]
 
 
+def test_the_run_after_the_last_region(spark):
+    df = spark.createDataFrame([("f", 4, 6, 6), ("f", None, None, 20), ("g", 1, 3, 3), ("h", None, None, 9), ("i", 2, 2, None)], "k string, s int, e int, last int")
+    assert sorted(tuple(r) for r in chunking.uncovered(df, ["k"], "s", "e", "last").collect()) == [("f", 1, 3), ("f", 7, 20), ("i", 1, 1)]
+
+
 def test_block_ends(spark):
     df = spark.createDataFrame([(1, "f() {\n  if (x) {\n  }\n}\nrest"), (2, "no braces\nhere"), (3, "a {\n b"), (4, ""), (5, None)], "k int, t string")
     assert sorted(tuple(r) for r in chunking.block_ends(df, ["k"], "t").collect()) == [(1, 5, 4), (2, 2, 2), (3, 2, 2)]
 
 
 def test_symbols(spark):
-    js = "export default class Panel {\n  render() {\n  }\n  if (x) {\n}\nexport const go = async (a) => {\nfunction run(x) {"
-    df = spark.createDataFrame([(1, js), (2, None)], "k int, t string")
-    assert sorted((r.line_no, r.symbol_type, r.symbol_name) for r in chunking.script_symbols(df, ["k"], "t").collect()) == [
-        (1, "class", "Panel"), (2, "method", "render"), (6, "function", "go"), (7, "function", "run"),
+    js = "export default class Panel {\n  render() {\n    const go = () => {\n    };\n  }\n  class Inner {\n    draw() {}\n  }\n\u00a0 if (x) {\n  }\n}\nexport const go = async (a) => {\n}\nclean() {\n}\nfunction run(x) {"
+    df = spark.createDataFrame([(1, js), (2, None), (3, "")], "k int, t string")
+    assert [tuple(r)[1:] for r in chunking.script_symbols(df, ["k"], "t").collect()] == [
+        ("class", "Panel", 1, 11), ("method", "render", 2, 5), ("class", "Inner", 6, 8), ("method", "draw", 7, 7), ("function", "go", 12, 13), ("function", "run", 16, 16),
     ]
     py = "@deco\ndef alpha():\n    pass\n\nclass Beta:\n    def m(self):\n        pass\n"
     df = spark.createDataFrame([(1, py), (2, "def broken(:"), (3, None)], "k int, t string")

@@ -1,3 +1,7 @@
+import json
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import providers
@@ -7,13 +11,16 @@ TS = "import { fuse } from './fuse';\nexport async function run(a: string) {\n
 PY = "import os\n\n@deco\ndef alpha():\n    return 1\n\n\nclass Beta:\n    def m(self):\n        return 2\n"
 
 
-def test_regions_cover_every_line_once_outside_symbols():
-    assert indexing.regions(TS, "typescript") == [
+def test_regions_cover_every_line_once_outside_symbols(spark):
+    files = [("a", "typescript", TS), ("b", "python", PY), ("c", "python", "def broken(:"), ("d", "yaml", "a: 1"), ("e", "tsx", "let x"), ("f", "python", ""), ("g", "python", "x = 1"), ("h", None, None)]
+    rows = indexing.regions(spark.createDataFrame(files, "file_path string, language string, text string")).collect()
+    got = {r.file_path: [tuple(x) for x in r["__regions"]] for r in rows}
+    assert got["a"] == [
         ("function", "run", 2, 4), ("class", "Panel", 6, 11), ("method", "render", 7, 10), ("context", None, 1, 1), ("context", None, 5, 5), ("context", None, 12, 12),
     ]
-    assert indexing.regions(PY, "python")[:3] == [("function", "alpha", 4, 5), ("class", "Beta", 8, 10), ("function", "m", 9, 10)]
-    assert indexing.regions("def broken(:", "python") == [(None, None, 1, 1)] == indexing.regions("a: 1", "yaml") == indexing.regions("let x", "tsx")
-    assert indexing.regions("", "python") == []
+    assert got["b"][:3] == [("function", "alpha", 4, 5), ("class", "Beta", 8, 10), ("function", "m", 9, 10)]
+    assert got["c"] == [(None, None, 1, 1)] == got["d"] == got["e"] and got["g"] == [("context", None, 1, 1)]
+    assert "f" not in got and "h" not in got
 
 
 def test_chunks_of_files(spark):
@@ -35,14 +42,23 @@ def test_index_twice_embeds_once(spark, tmp_path):
     tree = tmp_path / "tree"
     tree.mkdir()
     (tree / "a.ts").write_text(TS)
-    paths = (str(tmp_path / "chunks"), str(tmp_path / "cache"))
-    repo = indexing.index(spark, str(tree), *paths, Fake, "fake")
-    first = (spark.read.parquet(paths[0]).count(), spark.read.parquet(paths[1]).count())
-    assert indexing.index(spark, str(tree), *paths, Fake, "fake") == repo
-    assert (spark.read.parquet(paths[0]).count(), spark.read.parquet(paths[1]).count()) == first == (5, 5)
-    stream = spark.readStream.schema(spark.read.parquet(paths[0]).schema).parquet(paths[0])
-    indexing.embed_stream(stream, paths[1], str(tmp_path / "state"), Fake, "fake").awaitTermination()
-    assert spark.read.parquet(paths[1]).count() == 5
+    (tree / "empty one.py").write_text("")
+    paths, repos = (str(tmp_path / "chunks"), str(tmp_path / "cache")), str(tmp_path / "repos")
+    repo = indexing.index(spark, str(tree), *paths, Fake, "fake", sha="abc", repos_path=repos)
+    counts = lambda: (spark.read.parquet(paths[0]).count(), spark.read.parquet(paths[1]).count())
+    assert counts() == (5, 5) and {r.commit_sha for r in spark.read.parquet(paths[0]).collect()} == {"abc"}
+    row = spark.read.parquet(repos).first()
+    assert (row.repo_id, row.commit_sha, row.files_indexed, row.chunks_indexed, row.metadata) == (repo, "abc", 2, 5, {"embedding_cache_hits": "0"})
+    assert indexing.index(spark, str(tree), *paths, Fake, "fake", repos_path=repos) == repo and counts() == (5, 5)
+    assert [(r.chunks_indexed, r.metadata["embedding_cache_hits"]) for r in spark.read.parquet(repos).collect()] == [(5, "5")]
+    stream = lambda: indexing.embed_stream(spark.readStream.schema(indexing.CHUNKS).parquet(paths[0]), str(tmp_path / "other"), str(tmp_path / f"state{random.random()}"), Fake, "fake").awaitTermination()
+    for _ in range(2):  # a stream that begins again repeats its batches
+        stream()
+        assert spark.read.parquet(str(tmp_path / "other")).count() == 5
+    (tree / "a.ts").write_text("")
+    indexing.index(spark, str(tree), *paths, Fake, "fake", repos_path=repos)
+    assert spark.read.schema(indexing.CHUNKS).parquet(paths[0]).count() == 0
+    assert [(r.files_indexed, r.chunks_indexed) for r in spark.read.parquet(repos).collect()] == [(2, 0)]
 
 
 def test_payloads(spark):
@@ -59,6 +75,29 @@ def test_payloads(spark):
     assert [tuple(r) for r in rows] == [("x\ny", 3, "in a.ts", ["a.ts:1-2"]), ("", None, "bare", []), ("", None, "I don't know from the indexed repo.", [])]
 
 
+def test_embedding_responses(spark):
+    df = spark.createDataFrame([('{"values": [1, 2.5]}',), ('{"embedding": {"values": [3]}}',), ('{"embeddings": {"values": []}}',)], "item string")
+    assert [list(r[0]) for r in df.select(providers.embedding_values(F.col("item"))).collect()] == [[1.0, 2.5], [3.0], []]
+    with pytest.raises(Exception, match="no vector"):
+        spark.createDataFrame([("{}",)], "item string").select(providers.embedding_values(F.col("item"))).collect()
+
+
+def test_answers_of_a_model(spark):
+    rows = [("r", "q", 1, "a.py", 1, 3, "x = 1"), ("r", "q", 2, "b.py", 4, 5, "y"), ("r", "p", 1, "c.py", 1, 1, "z")]
+    found = spark.createDataFrame(rows, "repo_id string, question string, rank int, file_path string, start_line int, end_line int, chunk_text string")
+
+    def client():
+        def call(prompt):
+            assert prompt.startswith("Question: ") and "[C1] " in prompt
+            said = json.dumps({"answer": "in b", "citations": ["C2", "C7"]}) if "b.py:4-5" in prompt else "no answer"
+            return json.dumps({"candidates": [{"content": {"parts": [{"text": said}]}}], "usage_metadata": {"total_token_count": 9}})
+
+        return call
+
+    got = {r.question: (r.answer, [tuple(c) for c in r.citations], r.usage.total_tokens) for r in providers.answered_by_model(found, ["repo_id", "question"], client).collect()}
+    assert got == {"q": ("in b", [("b.py", 4, 5)], 9), "p": ("I don't know from the indexed repo.", [], 9)}
+
+
 def test_pair_scorer(spark):
     df = spark.createDataFrame([("q", "aa", 1), ("q", "bbbb", 2), ("q", None, 3)], "question string, t string, rank int")
     got = providers.rescored(df, ["question"], "question", "t", lambda: lambda pairs: [len(b) for _, b in pairs], 2).collect()

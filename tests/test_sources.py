@@ -44,7 +44,24 @@ def test_tables_are_replaced_by_repository(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.upserted(make([("a", 1), ("b", 2)]), make([("b", 9)]), ["repo_id"]).collect()) == [("a", 1), ("b", 9)]
     cache = spark.createDataFrame([("p", "h1", [1.0])], "provider string, chunk_hash string, vector array<float>")
     new = spark.createDataFrame([("p", "h1", [2.0]), ("p", "h2", [3.0]), ("p", "h2", [3.0])], "provider string, chunk_hash string, vector array<float>")
-    tables.append_new(cache, new, str(tmp_path / "cache"))
-    assert [r.chunk_hash for r in spark.read.parquet(str(tmp_path / "cache")).collect()] == ["h2"]
+    for _ in range(2):  # an attempt that is repeated adds nothing twice
+        tables.append_new(cache, new, str(tmp_path / "cache"), "first")
+    tables.append_new(cache, new.where("chunk_hash = 'h1'"), str(tmp_path / "cache"), "second")
+    assert [r.chunk_hash for r in tables.cached(spark, str(tmp_path / "cache"), "p").collect()] == ["h2"]
+    assert tables.cached(spark, str(tmp_path / "cache"), "p", "first").count() == tables.cached(spark, str(tmp_path / "none"), "p").count() == 0
     with pytest.raises(Exception, match="no vector"):
         tables.checked_vectors(new.withColumn("vector", F.lit(None).cast("array<float>"))).collect()
+
+
+def test_unknown_repositories_are_told(spark):
+    asked = spark.createDataFrame([("a", 1), ("z", 2), (None, 3)], "repo_id string, n int")
+    repos = spark.createDataFrame([("a",), ("a",), (None,)], "repo_id string")
+    got = {r.n: r.error for r in tables.with_known_repo(asked, repos).collect()}
+    assert got == {1: None, 2: "repository z is not indexed", 3: "repository null is not indexed"}
+
+
+def test_evaluations_are_saved_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "e1", 0.5), ("a", "e2", 0.7)], "repo_id string, eval_id string, mrr double")
+    tables.save_evaluations(rows, str(tmp_path / "evals"))
+    tables.save_evaluations(rows.where("eval_id = 'e1'").withColumn("mrr", F.lit(0.9)), str(tmp_path / "evals"))
+    assert sorted((r.eval_id, r.mrr) for r in spark.read.parquet(str(tmp_path / "evals")).collect()) == [("e1", 0.9), ("e2", 0.7)]
