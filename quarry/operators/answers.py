@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import base_name, filled_lines, normalized_identifier, summary, without_markdown
+from quarry.functions.text import WHITE, base_name, filled_lines, normalized_identifier, summary, without_markdown
 from quarry.operators.relevance import DOC_FILES, assessed
 
+#: Fixed value: the answer without evidence.
 UNKNOWN = "I don't know from the indexed repo."
 
 
@@ -25,7 +26,7 @@ def relevant_lines(text: Column) -> Column:
 
     def worth(line: Column) -> Column:
         ids = F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit("[A-Za-z0-9_.-]+"), F.lit(0)), normalized_identifier))
-        words = F.array_distinct(F.split(F.lower(line), r"\s+"))
+        words = F.array_distinct(F.split(F.lower(line), f"[{WHITE}]+"))
         marked = line.startswith("### ") | line.startswith("- ") | line.startswith("* ")
         return F.size(F.array_intersect(ids, "identifier_terms")) + F.size(F.array_intersect(words, "important_terms")) + marked.cast("int")
 
@@ -54,7 +55,7 @@ def enough_evidence() -> Column:
 def answered(retrieved: DataFrame, query: Sequence[str]) -> DataFrame:
     """``query..., answer, citations``: one row per question with retrieved chunks.
 
-    ``retrieved`` has the columns of ``relevance.analyzed``, the chunk, its ``score`` and ``rank``. Chunks are assessed
+    The sentences are fixed values. ``retrieved`` has the columns of ``relevance.analyzed``, the chunk, its ``score`` and ``rank``. Chunks are assessed
     again upon their score. A question without enough evidence gets the fixed unknown sentence and no citation.
     """
     scored = assessed(retrieved)

@@ -49,6 +49,18 @@ def flags(answer: str = "answer", citations: str = "citations", retrieved: str =
     return F.concat(said, missing, wrong)
 
 
+def _failed() -> Column:
+    expects, flagged = F.size(_list("expected_files")) > 0, F.size(_list("hallucination_flags")) > 0
+    return (expects & ~F.coalesce("retrieval_hit_at_5", F.lit(False))) | flagged | (
+        (F.coalesce("answer_contains_score", F.lit(0.0)) == 0) & (F.trim(F.coalesce("answer", F.lit(""))) != "")
+    )
+
+
+def failures(items: DataFrame) -> DataFrame:
+    """The failed rows of ``items``: see ``summary``."""
+    return items.where(_failed())
+
+
 def summary(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per run with the aggregate metrics of its items.
 
@@ -56,10 +68,7 @@ def summary(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     latencies and scores count as 0. An item failed if its expected file is missing among five, if it has flags,
     or if its answer, not blank, matches nothing. Means have six digits; halves of the last one go up on any engine.
     """
-    expects, flagged = F.size(_list("expected_files")) > 0, F.size(_list("hallucination_flags")) > 0
-    failed = (expects & ~F.coalesce("retrieval_hit_at_5", F.lit(False))) | flagged | (
-        (F.coalesce("answer_contains_score", F.lit(0.0)) == 0) & (F.trim(F.coalesce("answer", F.lit(""))) != "")
-    )
+    expects, flagged, failed = F.size(_list("expected_files")) > 0, F.size(_list("hallucination_flags")) > 0, _failed()
 
     def mean(c: Column, where: Column | None = None) -> Column:
         return F.round(F.coalesce(F.avg(F.when(where, c) if where is not None else c), F.lit(0.0)) + 1e-10, 6)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Constant of reciprocal ranks, and the weight of the vector list when its embedder is the hashing one.
+#: Constant of reciprocal ranks, and the weight of the vector list when its embedder is the hashing one.
 CONSTANT = 40
 HASHING_WEIGHT = 0.45
 

@@ -6,10 +6,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Policy name, path, accepted requests and seconds of the window.
+#: Policy name, path, accepted requests and seconds of the window.
 POLICIES = (("query", "/query", 180, 60), ("index", "/repos/index", 20, 600), ("eval", "/evals/run", 20, 600))
 
 
@@ -78,14 +78,58 @@ def limited(requests: DataFrame, policies=POLICIES) -> DataFrame:
     )
 
 
+def _said(labels: list[str]) -> Column:
+    return F.array_join(F.array(*[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in sorted(labels)]), ",")
+
+
 def counters(events: DataFrame, labels: list[str], name: str) -> DataFrame:
     """``name, labels, value``: events per combination of label columns, labels as sorted ``key="value"`` text."""
-    said = F.array_join(F.array(*[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in sorted(labels)]), ",")
-    return events.groupBy(said.alias("labels")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("name"), "labels", "value")
+    return events.groupBy(_said(labels).alias("labels")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("name"), "labels", "value")
+
+
+def request_counters(requests: DataFrame, policies=POLICIES, limits=None) -> DataFrame:
+    """``name, labels, value`` of the request pipeline: every distinct request by method, path and status, and rejections.
+
+    A request that its limit rejects has status 429, any other 200. ``limits`` are decisions of ``limited`` if there
+    are any yet.
+    """
+    decided = (limited(requests, policies) if limits is None else limits).select("request_id", "policy", "accepted")
+    seen = requests.where(F.col("request_id").isNotNull()).dropDuplicates(["request_id"]).join(decided, "request_id", "left")
+    told = seen.withColumn("status_code", F.when(~F.col("accepted"), "429").otherwise("200"))
+    return counters(told, ["method", "path", "status_code"], "http_requests_total").unionByName(
+        counters(told.where(F.col("status_code") == "429"), ["path", "policy"], "rate_limit_rejections_total")
+    )
+
+
+def histograms(events: DataFrame, labels: list[str], value: str, name: str) -> DataFrame:
+    """``name, labels, nth, value``: count, sum, mean and nearest-rank 95th percentile of ``value`` per combination of labels.
+
+    The four lines of a histogram are told apart by ``nth``. Null values are left out; equal ones are counted before they meet.
+    """
+    counts = events.where(F.col(value).isNotNull()).groupBy(_said(labels).alias("labels"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("labels").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("labels", "v", "c", upto.alias("upto"), F.sum("c").over(Window.partitionBy("labels")).alias("n"))
+    index = F.bround(0.95 * (F.col("n") - 1)).cast("long")
+    one = placed.groupBy("labels").agg(
+        F.max("n").cast("double").alias("count"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min(F.when(F.col("upto") > index, F.col("v"))).alias("p95")
+    )
+    values = F.array(F.col("count"), F.col("sum"), F.col("sum") / F.col("count"), F.col("p95"))
+    names = F.array(*[F.lit(f"{name}_{x}") for x in ("count", "sum", "avg", "p95")])
+    return one.select("labels", F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("nth", "m")).select("m.name", "labels", "nth", "m.value")
 
 
 def exposition(metrics: DataFrame, namespace: str = "quarry") -> DataFrame:
-    """``line``: the text form of metrics ``name, labels, value``."""
+    """``line``: the text form of metrics ``name, labels, value``.
+
+    Counters come first, by name and labels, then histograms, which have a column ``nth``, by name and labels with
+    their lines in order.
+    """
+    if "nth" in metrics.columns:
+        stem = F.when(F.col("nth").isNotNull(), F.regexp_replace("name", "_[^_]+$", "")).otherwise(F.col("name"))
+        metrics = metrics.orderBy(F.col("nth").isNotNull(), stem, "labels", "nth")
+    else:
+        metrics = metrics.orderBy("name", "labels")
     shown = F.when(F.col("labels") == "", F.lit("")).otherwise(F.concat(F.lit("{"), F.col("labels"), F.lit("}")))
-    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    plain = F.regexp_replace(F.col("value").cast("decimal(38,9)").cast("string"), "0+$", "")  # large doubles would be written with an exponent
+    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).when(F.abs("value") >= 1e7, plain).otherwise(F.col("value").cast("string"))
     return metrics.select(F.concat(F.lit(namespace + "_"), F.col("name"), shown, F.lit(" "), number).alias("line"))

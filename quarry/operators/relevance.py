@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quarry.functions.text import base_name, code_tokens, filled_lines, normalized_identifier, raw_tokens
 
 #: Term sets of the analysis.
-DEFINITION = "define defined defines declare declared declares implement implemented implements".split()
-CONFIGURATION = "settings configuration config properties commands command activation".split()
-SCHEMA = "database migration migrations postgres postgresql prisma schema sql".split()
-STOPWORDS = (
-    "a about all an and any are as at by code defined defines file files for from how implemented in is it main of on or repo "
-    "repository spa the this to what where which"
-).split()
-LOW_SIGNAL = "class function method integration implementation".split()
+DEFINITION = ["define", "defined", "defines", "declare", "declared", "declares", "implement", "implemented", "implements"]
+CONFIGURATION = ["settings", "configuration", "config", "properties", "commands", "command", "activation"]
+SCHEMA = ["database", "migration", "migrations", "postgres", "postgresql", "prisma", "schema", "sql"]
+STOPWORDS = [
+    "a", "about", "all", "an", "and", "any", "are", "as", "at", "by", "code", "defined", "defines", "file", "files", "for", "from", "how",
+    "implemented", "in", "is", "it", "main", "of", "on", "or", "repo", "repository", "spa", "the", "this", "to", "what", "where", "which",
+]
+LOW_SIGNAL = ["class", "function", "method", "integration", "implementation"]
 README = ["readme.md"]
 DOC_FILES = ["readme.md", "changelog.md", "contributing.md"]
 
@@ -141,7 +141,7 @@ def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
         return F.size(found) / F.greatest(F.lit(1), F.size(F.array_distinct(of)))
 
     definition, configuration = F.col("asks_definition"), F.col("asks_configuration")
-    score = (
+    score = (  # fixed values: the weights
         0.2 * F.col(base)
         + 0.35 * share("important_overlap_terms", "important_terms")
         + 0.15 * share("identifier_overlap_terms", "identifier_terms")

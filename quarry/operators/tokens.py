@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import identifier_parts, is_compound, raw_tokens
 
+#: Constants of BM25, and how often the tokens of each field count.
 K1, B = 1.5, 0.75
-#: How often the tokens of each field count.
 FIELD_WEIGHTS = {"file_path": 3, "symbol_name": 5, "symbol_type": 2, "chunk_text": 1}
 
 
@@ -22,7 +22,8 @@ def token_counts(df: DataFrame, keys: Sequence[str], fields: dict[str, int]) ->
     one of ``keys``, as after a deduplication, the aggregations need no further shuffle.
     """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in fields.items()])
-    raw = df.select(*keys, F.inline(each)).where(F.col("text").isNotNull()).select(*keys, "field", "weight", F.posexplode(raw_tokens(F.col("text"))).alias("at", "raw"))
+    # the outer form keeps the optimizer from reading every text once more for a test of emptiness
+    raw = df.select(*keys, F.inline(each)).where(F.col("text").isNotNull()).select(*keys, "field", "weight", F.posexplode_outer(raw_tokens(F.col("text"))).alias("at", "raw")).where(F.col("raw").isNotNull())
     # each distinct raw token of a row is taken apart once
     once = raw.groupBy(*keys, "field", "weight", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     whole = F.array(F.struct(F.lower("raw").alias("token"), F.col("n").alias("n_raw")))

@@ -18,7 +18,7 @@ def hash_embedding(df: DataFrame, keys: Sequence[str], text: str, dimensions: in
 
     Null texts and texts without tokens have no rows.
     """
-    tokens = df.select(*keys, F.explode(raw_tokens(F.lower(F.col(text)))).alias("token"))
+    tokens = df.select(*keys, F.explode_outer(raw_tokens(F.lower(F.col(text)))).alias("token")).where(F.col("token").isNotNull())
     per_token = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))  # each token is hashed once a row
     sums = per_token.groupBy(*keys, bucket(F.col("token"), dimensions).alias("ix")).agg(F.sum(F.col("n") * sign(F.col("token"))).alias("v"))
     return sums.where(F.col("v") != 0)

@@ -19,9 +19,18 @@ def pool(top_k: int) -> int:
     return max(top_k, top_k * MULTIPLIER, LEAST)
 
 
-def documents(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id with repository and text; repeated and late rows of an id count once."""
-    kept = chunks.select("id", "repo_id", "file_path", "start_line", "end_line", "symbol_name", "symbol_type", "chunk_text")
+def matching(chunks: DataFrame, filters: dict[str, str]) -> DataFrame:
+    """The chunks whose metadata equal every value of ``filters``; a null value equals none. An unknown name is an error."""
+    if unknown := set(filters) - set(chunks.columns):
+        raise ValueError(f"chunks have no {sorted(unknown)}")
+    for name, value in filters.items():
+        chunks = chunks.where(F.col(f"`{name}`") == F.lit(value))
+    return chunks
+
+
+def documents(chunks: DataFrame, *more: str) -> DataFrame:
+    """One row per chunk id with repository and text, and columns ``more``; repeated and late rows of an id count once."""
+    kept = chunks.select("id", "repo_id", "file_path", "start_line", "end_line", "symbol_name", "symbol_type", "chunk_text", *more)
     return kept.where(F.col("id").isNotNull() & F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from quarry import sql
 from quarry.functions import ids, text
 from quarry.operators import answers, chunking, evaluation, guard, relevance, tokens, vectors
-from quarry.plans import retrieval
+from quarry.plans import evaluating, indexing, retrieval
+from quarry.plans.lineage import cut_lineage, shared_folder
 from quarry.session import table
 from quarry.sources import tables, trees
 from quarry.streaming import requests as streams
@@ -20,6 +20,8 @@ from quarry.streaming import requests as streams
 FLAGSHIP = "pip4_hybrid_retrieval"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERY = ["repo_id", "question"]
+#: Limits tight enough for the request table: three requests an hour.
+TIGHT = tuple((name, path, 3, 3600) for name, path, _, _ in guard.POLICIES)
 
 
 def registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,7 +58,7 @@ def _md5(c: Column) -> Column:
 
 @registered
 def str1_raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _chunks(spark, sf_dir).select("id", F.explode(text.raw_tokens(F.col("chunk_text"))).alias("token"))
+    each = _chunks(spark, sf_dir).select("id", F.explode_outer(text.raw_tokens(F.col("chunk_text"))).alias("token")).where(F.col("token").isNotNull())
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_chunks"))
 
 
@@ -93,7 +95,7 @@ def str10_chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def str9_markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _chunks(spark, sf_dir).where(F.col("language") == "markdown").select("repo_id", "file_path", F.explode(text.filled_lines(F.col("chunk_text"))).alias("line"))
+    lines = _chunks(spark, sf_dir).where(F.col("language") == "markdown").select("repo_id", "file_path", F.explode_outer(text.filled_lines(F.col("chunk_text"))).alias("line"))
     return lines.where(F.col("line").startswith("#")).select("repo_id", "file_path", text.without_markdown(F.col("line")).alias("heading")).distinct()
 
 
@@ -173,8 +175,11 @@ def agg10_deduplicated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def win6_uncovered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = _chunks(spark, sf_dir).where(F.col("symbol_name").isNotNull()).select("repo_id", "file_path", "start_line", "end_line").distinct()
-    return chunking.uncovered(symbols, ["repo_id", "file_path"], "start_line", "end_line")
+    """Lines outside of all symbols, to the last line that any chunk of the file shows."""
+    named = F.col("symbol_name").isNotNull()
+    first, last = F.when(named, F.col("start_line")).alias("start_line"), F.when(named, F.col("end_line")).alias("end_line")
+    rows = _chunks(spark, sf_dir).select("repo_id", "file_path", first, last, F.col("end_line").alias("shown")).distinct()
+    return chunking.uncovered(rows, ["repo_id", "file_path"], "start_line", "end_line", "shown")
 
 
 @registered
@@ -189,6 +194,18 @@ def sym2_script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.script_symbols(rows, ["id"], "chunk_text")
 
 
+@registered
+def sym5_chunked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that isn't Python as a file: windows of its symbols and of the lines outside them.
+
+    Python's symbols come from its own parser, which no SQL can restate: see ``sym1_python_symbols``.
+    """
+    rows = retrieval.documents(_chunks(spark, sf_dir), "language").where(F.coalesce("language", F.lit("")) != "python")
+    files = rows.select(F.col("id").alias("file_path"), "language", F.col("chunk_text").alias("text"))
+    cut = indexing.chunked(files, "r", "u", size=16, overlap=4)
+    return cut.select(F.col("file_path").alias("chunk"), "language", "symbol_type", "symbol_name", "start_line", "end_line", "chunk_hash")
+
+
 @registered
 def sym1_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.documents(_chunks(spark, sf_dir).where(F.col("language") == "python"))
@@ -263,6 +280,20 @@ def agg5_fused_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leg(retrieval.retrieve(_chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", 5, rerank=False))
 
 
+@registered
+def flt8_filtered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector leg over chunks whose metadata match, beside those of the repository."""
+    docs = retrieval.documents(retrieval.matching(_chunks(spark, sf_dir), {"language": "typescript", "symbol_type": "function"}))
+    return _leg(retrieval.vector_leg(docs, questions(spark, sf_dir), 10))
+
+
+@registered
+def jn15_question_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each question can be answered at all: its repository is indexed, or the error says that it isn't."""
+    asked = _items(spark, sf_dir).join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id", "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("questions"))
+    return tables.with_known_repo(asked, _chunks(spark, sf_dir).select("repo_id"))
+
+
 @registered
 def nlp1_question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _items(spark, sf_dir).where(F.col("question").isNotNull()).select("question").distinct()
@@ -295,7 +326,38 @@ def pip4_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def pip7_extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relevance.analyzed(retrieval.retrieve(_chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", 5))
-    return answers.answered(found, QUERY)
+    cited = F.transform("citations", lambda c: answers.label(c["file_path"], c["start_line"], c["end_line"]))
+    return answers.answered(found, QUERY).select(*QUERY, "answer", F.array_join(cited, ";").alias("citations"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eval items whose number is divisible by 20; expected terms are the names of the expected files, forbidden ones those of other files."""
+    items = _items(spark, sf_dir).where((F.col("item_no") % 20 == 0) & F.col("question").isNotNull())
+    none = F.array().cast("array<string>")
+    expected, seen = F.coalesce("expected_files", none), F.coalesce("retrieved_files", none)
+    named = lambda files: F.array_distinct(F.transform(files, text.base_name))
+    return items.join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id").where(F.col("repo_id").isNotNull()).select(
+        "eval_id", "item_no", *QUERY, "expected_files", named(expected).alias("expected_answer_contains"), F.array_except(named(seen), named(expected)).alias("must_not_contain")
+    )
+
+
+@registered
+def pip8_evaluated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions retrieved, answered and measured."""
+    found = evaluating.evaluated(_chunks(spark, sf_dir), _samples(spark, sf_dir), ["eval_id", "item_no"])
+    return found.select(
+        "eval_id", "item_no", F.array_join("retrieved_files", ";").alias("retrieved"), "retrieval_hit_at_3", "retrieval_hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"),
+        F.round("answer_contains_score", 6).alias("answer_match"), F.round("groundedness_score", 6).alias("groundedness"), F.array_join("hallucination_flags", ";").alias("flags"),
+        _md5(F.col("answer")).alias("answer_hash"),
+    )
+
+
+@registered
+def pip8_evaluation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each run over its evaluated questions, with the numbers of those that failed."""
+    found = evaluating.evaluated(_chunks(spark, sf_dir), _samples(spark, sf_dir), ["eval_id", "item_no"])
+    summary = evaluating.summarized(cut_lineage(found), ["eval_id"], "item_no")
+    return summary.drop("average_latency_ms", "average_cost").withColumn("failed_items", F.array_join(F.col("failed_items").cast("array<string>"), ";"))
 
 
 @registered
@@ -343,8 +405,13 @@ def jn16_matched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def stm1_limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions under limits tight enough for this table: three requests an hour."""
-    tight = tuple((name, path, 3, 3600) for name, path, _, _ in guard.POLICIES)
-    return guard.limited(table(spark, sf_dir, "requests"), tight)
+    return guard.limited(table(spark, sf_dir, "requests"), TIGHT)
+
+
+@registered
+def pip9_request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the request pipeline under the same limits."""
+    return guard.request_counters(table(spark, sf_dir, "requests"), TIGHT)
 
 
 @registered
@@ -357,6 +424,12 @@ def snk11_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.exposition(agg19_request_counters(spark, sf_dir))
 
 
+@registered
+def snk11_histogram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id")
+    return guard.exposition(guard.histograms(items, ["repo_id"], "latency_ms", "eval_latency_ms").withColumn("value", F.round("value", 3)))
+
+
 @registered
 def agg20_latency_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir).join(_runs(spark, sf_dir).select("eval_id", "repo_id"), "eval_id").where(F.col("latency_ms").isNotNull())
@@ -371,13 +444,13 @@ def jsn1_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/stream-{os.urandom(8).hex()}" if root else tempfile.mkdtemp(prefix="quarry-stream-")
+    return f"{shared_folder(spark)}/stream-{os.urandom(8).hex()}"
 
 
 @registered
 def stm1_limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.collected(streams.limited_stream(streams.read_requests(spark, sf_dir)), _folder(spark))
+    """The decisions of the batch query, made by a stream over the same files."""
+    return streams.collected(streams.limited_stream(streams.read_requests(spark, sf_dir), TIGHT), _folder(spark))
 
 
 @registered

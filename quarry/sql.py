@@ -86,16 +86,17 @@ def embedded(name: str, source: str, keys: str, text: str) -> str:
 
 
 def cosine(most: int) -> str:
+    """CTE ``vec``: every document of the repository is ranked; without a shared bucket its score is 0."""
     return f"""{embedded('dv', 'docs', 'repo_id, id', 'chunk_text')}, {embedded('qv', 'asked', 'repo_id, question', 'question')},
+    dots AS (SELECT d.repo_id, q.question, d.id, sum(d.v * q.v) AS dot FROM dv d JOIN qv q USING (repo_id, ix) GROUP BY ALL),
     cosines AS (
-      SELECT d.repo_id, q.question, d.id, CAST(sum(d.v * q.v) AS DOUBLE) / (sqrt(CAST(any_value(ds.s) AS DOUBLE)) * sqrt(CAST(any_value(qs.s) AS DOUBLE))) AS score
-      FROM dv d JOIN qv q USING (repo_id, ix)
-        JOIN (SELECT repo_id, id, sum(v * v) AS s FROM dv GROUP BY ALL) ds ON ds.repo_id = d.repo_id AND ds.id = d.id
-        JOIN (SELECT repo_id, question, sum(v * v) AS s FROM qv GROUP BY ALL) qs ON qs.repo_id = q.repo_id AND qs.question = q.question
-      GROUP BY d.repo_id, q.question, d.id),
+      SELECT repo_id, question, id, file_path, start_line, coalesce(CAST(dot AS DOUBLE) / (sqrt(CAST(ds.s AS DOUBLE)) * sqrt(CAST(qs.s AS DOUBLE))), 0) AS score
+      FROM asked JOIN docs USING (repo_id) LEFT JOIN dots USING (repo_id, question, id)
+        LEFT JOIN (SELECT repo_id, id, sum(v * v) AS s FROM dv GROUP BY ALL) ds USING (repo_id, id)
+        LEFT JOIN (SELECT repo_id, question, sum(v * v) AS s FROM qv GROUP BY ALL) qs USING (repo_id, question)),
     vec AS (
-      SELECT * FROM (
-        SELECT c.*, row_number() OVER (PARTITION BY c.repo_id, c.question ORDER BY round(c.score, 9) DESC, file_path, start_line, c.id) AS rank FROM cosines c JOIN docs USING (id))
+      SELECT repo_id, question, id, score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id, question ORDER BY round(score, 9) DESC, file_path, start_line, id) AS rank FROM cosines)
       WHERE rank <= {most})"""
 
 
@@ -152,8 +153,8 @@ def any_(xs: str, condition: str) -> str:
     return f"len(list_filter({xs}, lambda t: {condition})) > 0"
 
 
-def assessed(source: str) -> str:
-    """CTEs that give ``scored`` from a CTE with repo_id, question, id, score, rank; needs ``docs`` and ``analysis``."""
+def assessed(source: str, p: str = "") -> str:
+    """CTEs that give ``<p>scored`` from a CTE with repo_id, question, id, score, rank; needs ``docs`` and ``analysis``."""
     said = "concat_ws(' ', file_path, coalesce(symbol_name, ''), coalesce(symbol_type, ''), chunk_text)"
     klass = r"'\b(?:export\s+)?class\s+' || t || '\b'"
     function = r"'\b(?:export\s+)?(?:async\s+)?function\s+' || t || '\b'"
@@ -161,12 +162,12 @@ def assessed(source: str) -> str:
     constant = r"'\b(?:export\s+)?(?:const|let|var)\s+' || t || '\s*='"
     match = lambda *ps: any_("identifier_terms", " OR ".join(f"regexp_matches(low, {p})" for p in ps))
     return f"""
-    paired AS (
+    {p}paired AS (
       SELECT s.*, a.* EXCLUDE (repo_id, question), d.* EXCLUDE (id, repo_id), lower(file_path) AS path, regexp_extract(lower(file_path), '[^/]*$') AS name, lower(chunk_text) AS low,
         regexp_replace(lower(coalesce(symbol_name, '')), '[^a-z0-9]+', '', 'g') AS symbol, {filled('chunk_text')}[1:6] AS head, regexp_extract_all({said}, '{TOKEN}') AS raws
       FROM {source} s JOIN analysis a ON a.repo_id = s.repo_id AND a.question = s.question JOIN docs d ON d.id = s.id),
-    tokened AS (SELECT *, list_distinct(flatten(list_transform(raws, lambda t: list_concat([lower(t)], {parts('t')})))) AS said FROM paired),
-    judged AS (
+    {p}tokened AS (SELECT *, list_distinct(flatten(list_transform(raws, lambda t: list_concat([lower(t)], {parts('t')})))) AS said FROM {p}paired),
+    {p}judged AS (
       SELECT *, list_sort(list_intersect(list_distinct(important_terms), said)) AS io, list_sort(list_intersect(list_distinct(identifier_terms), said)) AS do_,
         symbol <> '' AND list_contains(identifier_terms, symbol) AS symbol_exact,
         symbol <> '' AND {any_('identifier_terms', 'length(t) > 3 AND contains(symbol, t)')} AS symbol_partial,
@@ -179,8 +180,8 @@ def assessed(source: str) -> str:
         (name IN ('readme.md', 'changelog.md', 'contributing.md') OR starts_with(path, 'docs/')) AND NOT asks_documentation AS docfile,
         len(list_filter({words(relevance.SCHEMA)}, lambda t: contains(path, t) OR contains(low, t))) AS hits,
         len(head) > 0 AND len(list_filter(head, lambda l: starts_with(l, 'import ') OR starts_with(l, 'from '))) >= greatest(2, len(head) - 1) AS imports
-      FROM tokened),
-    scored AS (
+      FROM {p}tokened),
+    {p}scored AS (
       SELECT *, CASE WHEN len(io) > 0 THEN io ELSE do_ END AS support_terms, round(
         0.2::DOUBLE * score + 0.35::DOUBLE * (len(io) / greatest(1, len(list_distinct(important_terms)))) + 0.15::DOUBLE * (len(do_) / greatest(1, len(list_distinct(identifier_terms))))
         + CASE WHEN symbol_exact THEN 0.45::DOUBLE WHEN symbol_partial THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN declares THEN 0.35::DOUBLE ELSE 0 END
@@ -193,10 +194,72 @@ def assessed(source: str) -> str:
         + CASE WHEN asks_license AND (contains(path, 'license') OR name IN ('readme.md', 'package.json')) THEN 0.25::DOUBLE ELSE 0 END
         + CASE WHEN asks_support AND name = 'readme.md' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN asks_features AND name = 'readme.md' THEN 0.25::DOUBLE ELSE 0 END
         + CASE WHEN NOT asks_schema THEN 0 WHEN hits > 0 THEN least(0.6::DOUBLE, hits * 0.18::DOUBLE) ELSE -0.24::DOUBLE END, 6) AS assessment
-      FROM judged)"""
+      FROM {p}judged)"""
+
+
+UNMARKED = r"^[#*\-\s`>]+"
+
+
+def unmarked(x: str) -> str:
+    return strip(f"regexp_replace({x}, '{UNMARKED}', '')")
+
+
+def answered(source: str) -> str:
+    """CTE ``said``: answer and citations of each question, from a CTE as ``assessed`` gives; needs ``docs``."""
+    here = "file_path || ':' || start_line || '-' || end_line"
+    worth = f"""len(list_intersect(list_distinct(list_transform(regexp_extract_all(x, '[A-Za-z0-9_.-]+'), lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g'))), identifier_terms))
+        + len(list_intersect(list_distinct(regexp_split_to_array(lower(x), '{SPACE}+')), important_terms)) + CASE WHEN regexp_matches(x, '^(### |- |[*] )') THEN 1 ELSE 0 END"""
+    return f"""
+    nthed AS (SELECT *, row_number() OVER (PARTITION BY repo_id, question ORDER BY assessment DESC, rank) AS nth,
+        (symbol_exact OR symbol_partial OR declares OR preferred_file OR path_match OR (assessment >= 0.45 AND len(support_terms) > 0))
+        AND (asks_documentation OR NOT (name IN ('readme.md', 'changelog.md', 'contributing.md') OR starts_with(path, 'docs/'))) AS bears FROM {source}),
+    firsts AS (SELECT repo_id, question, {here} AS place, nth FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, question, file_path ORDER BY nth) AS f FROM nthed WHERE bears) WHERE f = 1),
+    related AS (SELECT repo_id, question, list(place ORDER BY nth)[1:2] AS places FROM firsts GROUP BY ALL),
+    tops AS (SELECT n.*, {here} AS here, coalesce(places, [{here}]) AS cites, {filled('chunk_text')} AS rows_, {summary('chunk_text')} AS brief FROM nthed n LEFT JOIN related USING (repo_id, question) WHERE nth = 1),
+    weighed AS (SELECT *, list_transform(list_sort(list_filter(list_transform(rows_, lambda x, i: {{'w': -({worth}), 'i': i, 'l': {unmarked('x')}}}), lambda s: s.w < 0)), lambda s: s.l)[1:4] AS best_lines FROM tops),
+    pieces AS (SELECT *, CASE WHEN len(best_lines) > 0 THEN 'The retrieved chunk mentions ' || array_to_string(best_lines[1:2], ' ') ELSE brief END AS detail,
+        '`' || coalesce(nullif(symbol_name, ''), file_path) || '`' AS subject, list_contains(tokens, 'integration') AND len(cites) > 1 AS joined,
+        regexp_extract(chunk_text, '"(codeSpa\\.[^"]+)"\\s*:', 1) AS prop,
+        list_filter(list_transform(rows_, lambda x, i: CASE WHEN contains(lower(x), 'rights reserved') THEN {unmarked('x')} WHEN contains(lower(x), 'license') AND i < len(rows_) THEN {unmarked('rows_[i + 1]')} END), lambda x: x IS NOT NULL)[1] AS licence,
+        list_transform(list_filter(rows_, lambda x: regexp_matches(lower(x), 'report issues|feature requests|contact support')), lambda x: {unmarked('x')}) AS support,
+        list_transform(list_filter(rows_, lambda x: starts_with(x, '### ')), lambda x: {unmarked('x')}) AS headings FROM weighed),
+    worded AS (SELECT *, CASE WHEN asks_class THEN subject || ' class' WHEN asks_method THEN subject || ' method' WHEN asks_function THEN subject || ' function' WHEN asks_configuration THEN 'configuration' ELSE 'relevant implementation' END AS descriptor,
+        'The strongest grounded match is in `' || here || '`: ' || brief AS generic FROM pieces),
+    told AS (SELECT *,
+        CASE WHEN asks_configuration AND (prop <> '' OR contains(chunk_text, 'contributes'))
+            THEN 'Settings are declared in `' || here || '` under `contributes.configuration.properties`' || CASE WHEN prop <> '' THEN ', including `' || prop || '`' ELSE '' END || '. ' || brief
+          WHEN asks_configuration THEN 'The relevant configuration is in `' || here || '`. ' || brief
+          WHEN asks_documentation THEN CASE WHEN asks_license AND licence <> '' THEN 'The repo lists `' || licence || '` in `' || here || '`.'
+            WHEN asks_support AND len(support) > 0 THEN 'Users can use `' || array_to_string(support[1:2], '` and `') || '`.'
+            WHEN asks_features AND len(headings) >= 2 THEN 'The README highlights `' || headings[1] || '` and `' || headings[2] || '`.'
+            WHEN len(best_lines) > 0 THEN 'Based on `' || here || '`, ' || array_to_string(best_lines[1:3], ' ') ELSE generic END
+          WHEN asks_definition AND joined THEN 'The strongest implementation for ' || descriptor || ' appears in `' || cites[1] || '` and `' || cites[2] || '`. ' || detail
+          WHEN asks_definition THEN 'The ' || descriptor || ' is defined in `' || here || '`. ' || detail ELSE generic END AS text_,
+        CASE WHEN asks_definition AND NOT asks_configuration AND NOT asks_documentation THEN cites[1:CASE WHEN joined THEN 2 ELSE 1 END] ELSE [here] END AS cited,
+        CASE WHEN asks_schema THEN preferred_file OR len(support_terms) > 0
+          WHEN asks_configuration THEN preferred_file OR (assessment >= 0.45 AND (contains(lower(chunk_text), 'configuration') OR contains(lower(file_path), 'config')))
+          WHEN asks_definition THEN symbol_exact OR symbol_partial OR declares OR (path_match AND assessment >= 0.65) OR (assessment >= 0.4 AND len(support_terms) >= 2)
+          WHEN asks_documentation THEN preferred_file OR len(support_terms) > 0 ELSE assessment >= 0.3 AND len(support_terms) > 0 END AS enough FROM worded),
+    said AS (SELECT repo_id, question, CASE WHEN enough THEN text_ ELSE '{UNKNOWN.replace("'", "''")}' END AS answer, CASE WHEN enough THEN cited ELSE [] END AS citations FROM told)"""
 
 
 RETRIEVED = f"""{CORPUS}, {ASKED}, {WANTED}, {bm25(60)}, {cosine(60)}, {FUSED}"""
+RERANKED = f"""{RETRIEVED}, {analyzed('asked', 'repo_id, question')}, {assessed('pooled')},
+      reranked AS (SELECT repo_id, question, id, assessment AS score, row_number() OVER (PARTITION BY repo_id, question ORDER BY assessment DESC, rank) AS rank FROM scored), {diversified('reranked')}"""
+ANSWERED = f"""{RERANKED}, kept AS (SELECT repo_id, question, id, score, rank FROM best), {assessed('kept', 'again_')}, {answered('again_scored')}"""
+EVALUATED = f"""{ANSWERED}, {ITEMS}, {RUNS},
+    samples AS (SELECT eval_id, item_no, repo_id, question, coalesce(expected_files, []) AS expected, list_distinct(list_transform(coalesce(expected_files, []), lambda f: regexp_extract(f, '[^/]*$'))) AS terms,
+        list_distinct(list_transform(coalesce(retrieved_files, []), lambda f: regexp_extract(f, '[^/]*$'))) AS seen FROM items JOIN runs USING (eval_id) WHERE item_no % 20 = 0 AND question IS NOT NULL AND repo_id IS NOT NULL),
+    files AS (SELECT repo_id, question, list(file_path ORDER BY rank) AS retrieved FROM best GROUP BY ALL),
+    given AS (SELECT * REPLACE (coalesce(retrieved, []) AS retrieved, coalesce(answer, '{UNKNOWN.replace("'", "''")}') AS answer, list_transform(coalesce(citations, []), lambda c: regexp_replace(c, ':[0-9]+-[0-9]+$', '')) AS citations)
+      FROM samples LEFT JOIN files USING (repo_id, question) LEFT JOIN said USING (repo_id, question)),
+    results AS (SELECT eval_id, item_no, retrieved, expected, answer, len(list_intersect(retrieved[1:3], expected)) > 0 AS hit_3, len(list_intersect(retrieved[1:5], expected)) > 0 AS hit_5,
+        coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(retrieved, lambda f, i: CASE WHEN list_contains(expected, f) THEN i END), lambda i: i IS NOT NULL)), 0) AS rr,
+        CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: contains(lower(answer), lower(t)))) / len(terms) END AS matched,
+        CASE WHEN answer = '{UNKNOWN.replace("'", "''")}' THEN 1.0::DOUBLE WHEN len(citations) = 0 THEN 0 ELSE len(list_filter(citations, lambda f: list_contains(retrieved, f))) / len(citations) END AS grounded,
+        list_concat(list_concat(list_transform(list_filter(seen, lambda t: NOT list_contains(terms, t) AND contains(lower(answer), lower(t))), lambda t: 'must_not_contain:' || t),
+          CASE WHEN len(citations) = 0 AND answer <> '{UNKNOWN.replace("'", "''")}' THEN ['missing_citations'] ELSE [] END),
+          list_transform(list_filter(citations, lambda f: NOT list_contains(retrieved, f)), lambda f: 'citation_not_retrieved:' || f)) AS flags FROM given)"""
 NEAREST = "min(CASE WHEN upto > CAST(round_even({p} / 100.0 * (n - 1), 0) AS BIGINT) THEN latency_ms END) AS p{p}"
 LATENCIES = f"""{ITEMS}, {RUNS}, latencies AS (SELECT repo_id, latency_ms FROM items JOIN runs USING (eval_id) WHERE latency_ms IS NOT NULL),
     placed AS (SELECT repo_id, latency_ms, row_number() OVER (PARTITION BY repo_id ORDER BY latency_ms) AS upto, count(*) OVER (PARTITION BY repo_id) AS n FROM latencies)"""
@@ -204,6 +267,14 @@ TIGHT = {path: name for name, path, _, _ in guard.POLICIES}
 MATCHED = f"""matched AS (
       SELECT DISTINCT ON (request_id) request_id, CASE path {' '.join(f"WHEN '{p}' THEN '{n}'" for p, n in TIGHT.items())} END AS policy, coalesce(client, 'unknown') AS client, epoch_us(ts) AS pos
       FROM requests WHERE method = 'POST' AND request_id IS NOT NULL AND ts IS NOT NULL AND path IN ({', '.join(f"'{p}'" for p in TIGHT)}))"""
+WALK = f"""{MATCHED},
+      ordered AS (SELECT *, row_number() OVER (PARTITION BY policy, client ORDER BY pos, request_id) AS n FROM matched),
+      walk AS (
+        SELECT request_id, policy, client, n, pos, true AS accepted, 2 AS remaining, CAST(0 AS BIGINT) AS retry_after, [pos] AS log FROM ordered WHERE n = 1
+        UNION ALL
+        SELECT o.request_id, o.policy, o.client, o.n, o.pos, len(l.live) < 3, CASE WHEN len(l.live) < 3 THEN 2 - len(l.live) ELSE 0 END,
+          CASE WHEN len(l.live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((3600000000 - (o.pos - l.live[1])) / 1000000.0) AS BIGINT)) END, CASE WHEN len(l.live) < 3 THEN list_append(l.live, o.pos) ELSE l.live END
+        FROM walk w JOIN ordered o ON o.policy = w.policy AND o.client = w.client AND o.n = w.n + 1, LATERAL (SELECT list_filter(w.log, lambda t: t > o.pos - 3600000000) AS live) l)"""
 FOLDERS = "|".join(f.replace(".", r"\.") for f in trees.IGNORED_FOLDERS)
 SUFFIX = "lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '^.+(\\.[^.]+)$', 1))"
 HIT = "len(list_intersect(coalesce(retrieved_files, [])[1:{k}], coalesce(expected_files, []))) > 0"
@@ -212,7 +283,26 @@ NAMES = "|".join(chunking.NO_METHODS)
 
 
 def _shape(kind: str) -> str:
-    return f"regexp_extract(line, '{chunking.SCRIPT_SYMBOLS[kind]}', 1)"
+    return f"regexp_extract(line, '{chunking.SCRIPT_SYMBOLS[kind].replace(chr(92) + 's', chunking.SCRIPT_SPACE)}', 1)"
+
+
+def script_symbols(source: str) -> str:
+    """CTE ``symbols (id, symbol_type, symbol_name, first, last)`` of a CTE with id, script and lines ``ls``."""
+    return f"""
+      rows AS (SELECT id, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS INTEGER) AS line_no, len(ls) AS n FROM {source} WHERE script),
+      summed AS (SELECT *, coalesce(sum(net) OVER before, 0) AS depth_before, coalesce(sum(opens) OVER before, 0) AS opened_before, sum(net) OVER upto AS depth, sum(opens) OVER upto AS opened
+        FROM (SELECT *, {_counted('line', '{')} AS opens, {_counted('line', '{')} - {_counted('line', '}')} AS net FROM rows)
+        WINDOW before AS (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+      shapes AS (SELECT *, {_shape('class')} AS c, {_shape('function')} AS f, {_shape('arrow')} AS a, {_shape('method')} AS m FROM summed),
+      ended AS (SELECT s.id, s.line_no, c, f, a, m, coalesce(min(e.line_no), any_value(s.n)) AS last FROM shapes s
+        LEFT JOIN summed e ON e.id = s.id AND e.line_no >= s.line_no AND e.opened > s.opened_before AND e.depth <= s.depth_before
+        WHERE c <> '' OR f <> '' OR a <> '' OR m <> '' GROUP BY ALL),
+      classes AS (SELECT * FROM ended WHERE c <> ''),
+      placed AS (SELECT *, EXISTS (SELECT 1 FROM classes k WHERE k.id = e.id AND e.line_no BETWEEN k.line_no AND k.last) AS inside FROM ended e),
+      symbols AS (
+        SELECT id, 'class' AS symbol_type, c AS symbol_name, line_no AS first, CAST(last AS INTEGER) AS last FROM placed WHERE c <> ''
+        UNION ALL SELECT id, 'method', m, line_no, CAST(last AS INTEGER) FROM placed WHERE inside AND m <> '' AND NOT regexp_full_match(m, '{NAMES}')
+        UNION ALL SELECT id, 'function', CASE WHEN f <> '' THEN f ELSE a END, line_no, CAST(last AS INTEGER) FROM placed WHERE NOT inside AND (f <> '' OR a <> ''))"""
 
 
 def _counted(x: str, brace: str) -> str:
@@ -249,7 +339,9 @@ SQL = {
       texts AS (SELECT doc_id, CAST(b + 1 AS INTEGER) AS start_line, CAST(least(len(ls), b + 8) AS INTEGER) AS end_line, {strip("array_to_string(ls[b + 1 : b + 8], chr(10))")} AS t FROM windows)
       SELECT doc_id, start_line, end_line, md5(t) AS digest FROM texts WHERE t <> ''""",
     "agg10_deduplicated_chunks": "SELECT DISTINCT ON (id) id, commit_sha, symbol_type FROM chunks ORDER BY id, created_at DESC NULLS LAST, commit_sha DESC NULLS LAST, symbol_type DESC NULLS LAST",
-    "win6_uncovered_regions": """WITH regions AS (SELECT DISTINCT repo_id, file_path, start_line, end_line FROM chunks WHERE symbol_name IS NOT NULL),
+    "win6_uncovered_regions": """WITH named AS (SELECT DISTINCT repo_id, file_path, start_line, end_line FROM chunks WHERE symbol_name IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
+      ends AS (SELECT repo_id, file_path, max(end_line) AS shown FROM chunks WHERE (repo_id, file_path) IN (SELECT (repo_id, file_path) FROM named) GROUP BY ALL),
+      regions AS (SELECT * FROM named UNION ALL SELECT repo_id, file_path, shown + 1, shown FROM ends),
       reached AS (SELECT *, coalesce(max(end_line) OVER (PARTITION BY repo_id, file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM regions)
       SELECT repo_id, file_path, CAST(reach + 1 AS INTEGER) AS start_line, CAST(start_line - 1 AS INTEGER) AS end_line FROM reached WHERE start_line > reach + 1""",
     "win5_block_ends": f"""WITH d AS (SELECT DISTINCT ON (id) id, {lines('chunk_text')} AS ls FROM chunks WHERE language IN ('typescript', 'java', 'go', 'cpp', 'javascript') AND id IS NOT NULL AND chunk_text IS NOT NULL),
@@ -257,13 +349,21 @@ SQL = {
       depths AS (SELECT id, n, pos, sum({_counted('line', '{')} - {_counted('line', '}')}) OVER w AS depth, sum({_counted('line', '{')}) OVER w AS opened FROM rows
         WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING))
       SELECT id, CAST(any_value(n) AS INTEGER) AS n_lines, CAST(coalesce(min(pos) FILTER (WHERE opened > 0 AND depth <= 0), any_value(n)) AS INTEGER) AS block_end FROM depths GROUP BY id""",
-    "sym2_script_symbols": f"""WITH d AS (SELECT DISTINCT ON (id) id, {lines('chunk_text')} AS ls FROM chunks
-        WHERE language IN ({', '.join(f"'{x}'" for x in chunking.SCRIPT_LANGUAGES)}) AND id IS NOT NULL AND chunk_text IS NOT NULL),
-      rows AS (SELECT id, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS INTEGER) AS line_no FROM d),
-      shapes AS (SELECT id, line_no, {_shape('class')} AS c, {_shape('function')} AS f, {_shape('arrow')} AS a, {_shape('method')} AS m FROM rows)
-      SELECT id, line_no, CASE WHEN c <> '' THEN 'class' WHEN f <> '' OR a <> '' THEN 'function' ELSE 'method' END AS symbol_type,
-        CASE WHEN c <> '' THEN c WHEN f <> '' THEN f WHEN a <> '' THEN a ELSE m END AS symbol_name
-      FROM shapes WHERE c <> '' OR f <> '' OR a <> '' OR (m <> '' AND NOT regexp_full_match(m, '{NAMES}'))""",
+    "sym2_script_symbols": f"""WITH d AS (SELECT DISTINCT ON (id) id, true AS script, {lines('chunk_text')} AS ls FROM chunks
+        WHERE language IN ({', '.join(f"'{x}'" for x in chunking.SCRIPT_LANGUAGES)}) AND id IS NOT NULL AND chunk_text IS NOT NULL), {script_symbols('d')}
+      SELECT id, symbol_type, symbol_name, first AS start_line, last AS end_line FROM symbols""",
+    "sym5_chunked_files": f"""WITH d AS (SELECT id, any_value(language) AS language, any_value(language IN ({', '.join(f"'{x}'" for x in chunking.SCRIPT_LANGUAGES)})) AS script, any_value({lines('chunk_text')}) AS ls FROM chunks
+        WHERE coalesce(language, '') <> 'python' AND id IS NOT NULL AND chunk_text IS NOT NULL GROUP BY id), {script_symbols('d')},
+      ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first, last, symbol_type) AS seq FROM symbols),
+      closed AS (SELECT id, first, last FROM symbols UNION ALL SELECT id, len(ls) + 1, len(ls) FROM d WHERE id IN (SELECT id FROM symbols)),
+      reached AS (SELECT *, coalesce(max(last) OVER (PARTITION BY id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM closed),
+      regions AS (SELECT id, seq, symbol_type, symbol_name, first, last FROM ordered
+        UNION ALL SELECT id, 1000000 + first, 'context', NULL, reach + 1, first - 1 FROM reached WHERE first > reach + 1
+        UNION ALL SELECT id, 0, NULL, NULL, 1, len(ls) FROM d WHERE len(ls) > 0 AND id NOT IN (SELECT id FROM symbols)),
+      cuts AS (SELECT r.*, language, ls, unnest(range(0, greatest(0, CAST(ceil((last - first + 1 - 16) / 12.0) AS BIGINT)) + 1)) * 12 AS b FROM regions r JOIN d USING (id)),
+      windows AS (SELECT id, language, seq, symbol_type, symbol_name, first + b AS start_line, least(last, first + b + 15) AS end_line, {strip("array_to_string(ls[first + b : least(last, first + b + 15)], chr(10))")} AS t FROM cuts),
+      kept AS (SELECT DISTINCT ON (id, start_line, end_line, t) * FROM windows WHERE t <> '' ORDER BY id, start_line, end_line, t, seq DESC)
+      SELECT id AS chunk, language, symbol_type, symbol_name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(t) AS chunk_hash FROM kept""",
     "agg8_hash_embeddings": f"""WITH d AS (SELECT DISTINCT ON (chunk_hash) chunk_hash, chunk_text FROM chunks), {embedded('dv', 'd', 'chunk_hash', 'chunk_text')}
       SELECT chunk_hash, count(*) AS buckets, CAST(sum(v * v) AS BIGINT) AS sumsq, CAST(sum(ix * v) AS BIGINT) AS moment FROM dv GROUP BY chunk_hash""",
     "jn2_missing_embeddings": "SELECT DISTINCT chunk_hash FROM chunks WHERE chunk_hash IS NOT NULL AND chunk_hash NOT IN (SELECT chunk_hash FROM chunks WHERE embedding IS NOT NULL AND chunk_hash IS NOT NULL)",
@@ -284,9 +384,22 @@ SQL = {
         array_to_string(list_sort(identifier_terms), ' ') AS identifier_terms FROM analysis""",
     "nlp3_assessed_chunks": f"""WITH {CORPUS}, {ASKED}, {WANTED}, {bm25(10)}, rounded AS (SELECT repo_id, question, id, round(score, 6) AS score, rank FROM bm25), {analyzed('asked', 'repo_id, question')}, {assessed('rounded')}
       SELECT repo_id, md5(question) AS question_hash, id, symbol_exact, symbol_partial, declares, path_match, preferred_file, array_to_string(support_terms, ' ') AS support_terms, assessment FROM scored""",
-    "pip4_hybrid_retrieval": f"""WITH {RETRIEVED}, {analyzed('asked', 'repo_id, question')}, {assessed('pooled')},
-      reranked AS (SELECT repo_id, question, id, assessment AS score, row_number() OVER (PARTITION BY repo_id, question ORDER BY assessment DESC, rank) AS rank FROM scored), {diversified('reranked')}
+    "pip4_hybrid_retrieval": f"""WITH {RERANKED}
       SELECT repo_id, question, CAST(rank AS INTEGER) AS rank, id, file_path, start_line, end_line, round(score, 6) AS score, 'hybrid+heuristic' AS source FROM best""",
+    "pip7_extractive_answers": f"WITH {ANSWERED} SELECT repo_id, question, answer, array_to_string(citations, ';') AS citations FROM said",
+    "pip8_evaluated_items": f"""WITH {EVALUATED}
+      SELECT eval_id, item_no, array_to_string(retrieved, ';') AS retrieved, hit_3 AS retrieval_hit_at_3, hit_5 AS retrieval_hit_at_5, round(rr, 6) AS reciprocal_rank, round(matched, 6) AS answer_match,
+        round(grounded, 6) AS groundedness, array_to_string(flags, ';') AS flags, md5(answer) AS answer_hash FROM results""",
+    "pip8_evaluation_summaries": f"""WITH {EVALUATED}, f AS (SELECT *, len(expected) > 0 AS expects, (len(expected) > 0 AND NOT hit_5) OR len(flags) > 0 OR (matched = 0 AND trim(answer) <> '') AS failed FROM results)
+      SELECT eval_id, count(*) AS total_queries, round(coalesce(avg(CASE WHEN hit_3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE expects), 0) + 1e-10, 6) AS recall_at_3,
+        round(coalesce(avg(CASE WHEN hit_5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE expects), 0) + 1e-10, 6) AS recall_at_5, round(coalesce(avg(rr) FILTER (WHERE expects), 0) + 1e-10, 6) AS mrr,
+        round(avg(matched) + 1e-10, 6) AS answer_match, round(avg(grounded) + 1e-10, 6) AS groundedness, CAST(sum(len(flags)) AS BIGINT) AS flags,
+        round(avg(CASE WHEN len(flags) > 0 THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS hallucination_rate, round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS failure_rate,
+        coalesce(array_to_string(list(item_no ORDER BY item_no) FILTER (WHERE failed), ';'), '') AS failed_items FROM f GROUP BY eval_id""",
+    "flt8_filtered_vectors": f"""WITH docs AS (SELECT DISTINCT ON (id) id, repo_id, file_path, start_line, chunk_text FROM chunks WHERE id IS NOT NULL AND chunk_text IS NOT NULL AND language = 'typescript' AND symbol_type = 'function'),
+      {ASKED}, {cosine(10)} SELECT repo_id, md5(question) AS question_hash, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM vec""",
+    "jn15_question_outcomes": f"""WITH {ITEMS}, {RUNS} SELECT repo_id, count(*) AS questions, CASE WHEN repo_id IS NULL OR repo_id NOT IN (SELECT repo_id FROM chunks WHERE repo_id IS NOT NULL)
+        THEN 'repository ' || coalesce(repo_id, 'null') || ' is not indexed' END AS error FROM items LEFT JOIN runs USING (eval_id) GROUP BY repo_id""",
     "prj11_prompt_blocks": f"""WITH {CORPUS}, {ASKED}, {WANTED}, {bm25(4)}, blocks AS (
         SELECT b.repo_id, question, string_agg('[C' || rank || '] ' || file_path || ':' || start_line || '-' || end_line || chr(10) || chunk_text, chr(10) || '---' || chr(10) ORDER BY rank) AS t FROM bm25 b JOIN docs USING (id) GROUP BY ALL)
       SELECT repo_id, md5(question) AS question_hash, CAST(length(t) AS INTEGER) AS length, md5(t) AS digest FROM blocks""",
@@ -308,15 +421,15 @@ SQL = {
     "agg18_latency_nearest_rank": f"WITH {LATENCIES} SELECT repo_id, max(n) AS n, {', '.join(NEAREST.format(p=p) for p in (50, 95, 99))} FROM placed GROUP BY repo_id",
     "agg20_latency_histograms": f"WITH {LATENCIES} SELECT repo_id, count(*) AS count, CAST(sum(latency_ms) AS BIGINT) AS sum, round(avg(latency_ms), 6) AS avg, {NEAREST.format(p=95)} FROM placed GROUP BY repo_id",
     "jn16_matched_requests": f"WITH {MATCHED} SELECT request_id, policy, client, pos AS \"at\" FROM matched",
-    "stm1_limited_requests": f"""WITH RECURSIVE {MATCHED},
-      ordered AS (SELECT *, row_number() OVER (PARTITION BY policy, client ORDER BY pos, request_id) AS n FROM matched),
-      walk AS (
-        SELECT request_id, policy, client, n, pos, true AS accepted, 2 AS remaining, CAST(0 AS BIGINT) AS retry_after, [pos] AS log FROM ordered WHERE n = 1
-        UNION ALL
-        SELECT o.request_id, o.policy, o.client, o.n, o.pos, len(l.live) < 3, CASE WHEN len(l.live) < 3 THEN 2 - len(l.live) ELSE 0 END,
-          CASE WHEN len(l.live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((3600000000 - (o.pos - l.live[1])) / 1000000.0) AS BIGINT)) END, CASE WHEN len(l.live) < 3 THEN list_append(l.live, o.pos) ELSE l.live END
-        FROM walk w JOIN ordered o ON o.policy = w.policy AND o.client = w.client AND o.n = w.n + 1, LATERAL (SELECT list_filter(w.log, lambda t: t > o.pos - 3600000000) AS live) l)
-      SELECT request_id, policy, client, accepted, CAST(remaining AS BIGINT) AS remaining, retry_after FROM walk""",
+    "stm1_limited_requests": f"WITH RECURSIVE {WALK} SELECT request_id, policy, client, accepted, CAST(remaining AS BIGINT) AS remaining, retry_after FROM walk",
+    "stm1_limited_stream": f"WITH RECURSIVE {WALK} SELECT request_id, policy, client, accepted, CAST(remaining AS BIGINT) AS remaining, retry_after FROM walk",
+    "pip9_request_counters": f"""WITH RECURSIVE {WALK}, seen AS (SELECT DISTINCT ON (request_id) request_id, method, path FROM requests WHERE request_id IS NOT NULL),
+      told AS (SELECT method, path, policy, CASE WHEN accepted = false THEN '429' ELSE '200' END AS code FROM seen LEFT JOIN walk USING (request_id))
+      SELECT 'http_requests_total' AS name, 'method="' || coalesce(method, '') || '",path="' || coalesce(path, '') || '",status_code="' || code || '"' AS labels, CAST(count(*) AS DOUBLE) AS value FROM told GROUP BY method, path, code
+      UNION ALL SELECT 'rate_limit_rejections_total', 'path="' || path || '",policy="' || policy || '"', CAST(count(*) AS DOUBLE) FROM told WHERE code = '429' GROUP BY path, policy""",
+    "snk11_histogram_lines": f"""WITH {LATENCIES}, sums AS (SELECT repo_id, count(*) AS n, CAST(sum(latency_ms) AS DOUBLE) AS s, round(avg(latency_ms), 3) AS a, {NEAREST.format(p=95)} FROM placed GROUP BY repo_id),
+      each AS (SELECT repo_id, unnest(['count', 'sum', 'avg', 'p95']) AS kind, unnest([CAST(n AS DOUBLE), s, a, CAST(p95 AS DOUBLE)]) AS v FROM sums)
+      SELECT 'quarry_eval_latency_ms_' || kind || '{{repo_id="' || repo_id || '"}} ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS line FROM each""",
     "agg19_request_counters": """SELECT 'requests_total' AS name, 'method="' || coalesce(method, '') || '",path="' || coalesce(path, '') || '"' AS labels, CAST(count(*) AS DOUBLE) AS value
       FROM (SELECT DISTINCT ON (request_id) * FROM requests) GROUP BY 2""",
     "snk11_exposition": """SELECT 'quarry_requests_total{method="' || coalesce(method, '') || '",path="' || coalesce(path, '') || '"} ' || count(*) AS line

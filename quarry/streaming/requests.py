@@ -13,17 +13,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quarry.operators.guard import POLICIES, decide
 
 
+COLUMNS = ["request_id", "policy", "client", "accepted", "remaining", "retry_after"]
+
+
 def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table as a stream of its files."""
     path = f"{sf_dir}/requests.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
-def limited_stream(requests: DataFrame, policies=POLICIES, delay: str = "10 minutes") -> DataFrame:
-    """``request_id, policy, client, accepted`` per request, with a log of accepted times per policy and client as state.
+def limited_stream(requests: DataFrame, policies=POLICIES, delay: str = "30 days") -> DataFrame:
+    """``request_id, policy, client, accepted, remaining, retry_after`` per request, with a log of accepted times per policy and client as state.
 
-    Requests of one micro-batch are taken in time order; the state is no longer than a limit and expires when a
-    client pauses for a window. Repeated ids are dropped within the watermark.
+    Requests of one micro-batch are taken in time order, later batches as they arrive; ``delay`` covers the known
+    lateness, so that none is dropped, however the requests lie in files. The state is no longer than a limit and
+    expires when a client pauses for ``delay`` and a window. Repeated ids are dropped within the watermark. Of a
+    client's requests in a batch only ids and times are held, so the size of batches bounds the memory.
     """
     policy = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(p).alias("p"), F.lit(m).alias("most"), F.lit(w * 1_000_000).cast("long").alias("window")) for n, p, m, w in policies])
     found = F.get(F.filter(policy, lambda x: x["p"] == F.col("path")), F.lit(0))
@@ -33,26 +38,30 @@ def limited_stream(requests: DataFrame, policies=POLICIES, delay: str = "10 minu
         .dropDuplicatesWithinWatermark(["request_id"])
         .withColumn("__p", found)
         .where(F.col("__p").isNotNull())
-        .select("request_id", "ts", "__p.policy", F.coalesce("client", F.lit("unknown")).alias("client"), F.unix_micros("ts").alias("at"), "__p.most", "__p.window")
+        .select("request_id", "ts", "__p.policy", F.coalesce("client", F.lit("unknown")).alias("client"), F.unix_micros("ts").alias("at"))
     )
+    limits = {n: (m, w * 1_000_000) for n, _, m, w in policies}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        most, window = limits[key[0]]
         log = deque(state.get[0]) if state.exists else deque()
-        pdf = pd.concat(batches).sort_values(["at", "request_id"])
-        out, window = [], 0
-        for r in pdf.itertuples(index=False):
-            out.append((r.request_id, *key, decide(log, r.at, r.most, r.window)[0]))
-            window = r.window
+        asked = sorted((at, name) for pdf in batches for at, name in zip(pdf["at"].tolist(), pdf["request_id"].tolist()))
+        decided = []
+        for at, _ in asked:
+            late = bool(log) and log[-1] > at
+            decided.append(decide(log, at, most, window))
+            if late:
+                log = deque(sorted(log))
         state.update((list(log),))
         if log:
-            state.setTimeoutTimestamp(max(log[-1] // 1000 + window // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["request_id", "policy", "client", "accepted"])
+            state.setTimeoutTimestamp(max((log[-1] + window) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([(name, *key, *d) for (_, name), d in zip(asked, decided)], columns=COLUMNS)
 
     return rows.groupBy("policy", "client").applyInPandasWithState(
-        step, "request_id string, policy string, client string, accepted boolean", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        step, "request_id string, policy string, client string, accepted boolean, remaining bigint, retry_after bigint", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -74,8 +83,9 @@ def collected(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        # a batch that is tried again replaces what it had written
+        batch.write.mode("overwrite").parquet(f"{folder}/out" + ("" if mode == "complete" else f"/batch={number}"))
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)

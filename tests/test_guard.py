@@ -48,10 +48,43 @@ def test_streamed_limits_equal_batch(spark, tmp_path):
     stream = streams.limited_stream(streams.read_requests(spark, str(tmp_path)), policies)
     got = {r.request_id: r.accepted for r in streams.collected(stream, str(tmp_path / "work")).collect()}
     assert got == {k: v[0] for k, v in plainly(rows, 3, 60).items()}
+    assert len(streams.collected(stream, str(tmp_path / "again")).collect()) == len(got)
     counts = streams.collected(streams.counted_stream(streams.read_requests(spark, str(tmp_path))), str(tmp_path / "counts"), "complete")
     assert sum(r.n for r in counts.collect()) == len(rows)
 
 
+def test_late_requests_of_later_files_are_decided(spark, tmp_path):
+    at = lambda s: NOON + dt.timedelta(seconds=s)
+    first = [("a", at(0), "POST", "/query", "c", None), ("b", at(86_400 * 3), "POST", "/query", "c", None)]
+    late = [("d", at(10), "POST", "/query", "c", None), ("e", at(20), "POST", "/query", "c", None), ("f", at(86_400 * 3 + 1), "POST", "/query", "c", None)]
+    folder = tmp_path / "requests.parquet"
+    spark.createDataFrame(first, REQUEST).coalesce(1).write.parquet(str(folder))
+    stream = lambda: streams.limited_stream(streams.read_requests(spark, str(tmp_path)), (("query", "/query", 2, 60),))
+    assert streams.collected(stream(), str(tmp_path / "work")).count() == 2
+    spark.createDataFrame(late, REQUEST).coalesce(1).write.mode("append").parquet(str(folder))
+    got = {r.request_id: r.accepted for r in streams.collected(stream(), str(tmp_path / "work")).collect()}
+    assert set(got) == set("abdef") and got["f"]
+
+
+def test_counters_of_the_pipeline(spark):
+    rows = [(f"r{i}", NOON + dt.timedelta(seconds=i), "POST", "/query", "a", None) for i in range(4)] + [("g", NOON, "GET", "/query", None, None), (None, NOON, "GET", "/x", None, None)]
+    df = spark.createDataFrame([*rows, rows[0]], REQUEST)
+    got = sorted((r.name, r.labels, r.value) for r in guard.request_counters(df, (("query", "/query", 3, 60),)).collect())
+    assert got == [
+        ("http_requests_total", 'method="GET",path="/query",status_code="200"', 1.0), ("http_requests_total", 'method="POST",path="/query",status_code="200"', 3.0),
+        ("http_requests_total", 'method="POST",path="/query",status_code="429"', 1.0), ("rate_limit_rejections_total", 'path="/query",policy="query"', 1.0),
+    ]
+
+
+def test_histograms_come_after_counters_in_order(spark):
+    df = spark.createDataFrame([("b", v) for v in (1.0, 2.0, 2.5)] + [("a", 20_000_000.5), ("a", None)], "k string, v double")
+    told = guard.histograms(df, ["k"], "v", "ms").unionByName(guard.counters(df, ["k"], "zeta"), allowMissingColumns=True)
+    assert [r.line for r in guard.exposition(told, "q").collect()] == [
+        'q_zeta{k="a"} 2', 'q_zeta{k="b"} 3', 'q_ms_count{k="a"} 1', 'q_ms_sum{k="a"} 20000000.5', 'q_ms_avg{k="a"} 20000000.5', 'q_ms_p95{k="a"} 20000000.5',
+        'q_ms_count{k="b"} 3', 'q_ms_sum{k="b"} 5.5', 'q_ms_avg{k="b"} 1.8333333333333333', 'q_ms_p95{k="b"} 2.5',
+    ]
+
+
 def test_client_key_and_exposition(spark):
     from pyspark.sql import functions as F
 
