@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import sha256
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +37,10 @@ def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 def sign(token: Column) -> Column:
     """1 or -1 by the parity of the fifth byte of its SHA-256."""
     return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+
+
+@lru_cache(1 << 17)
+def placed(token: str, dimensions: int = DIMENSIONS) -> tuple[int, int]:
+    """``bucket`` and ``sign`` of one token, for work inside Arrow batches."""
+    digest = sha256(token.encode()).digest()
+    return int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] % 2 == 0 else -1

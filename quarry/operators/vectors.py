@@ -2,55 +2,78 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.ids import DIMENSIONS, bucket, sign
-from quarry.functions.text import raw_tokens
+from quarry.functions.ids import DIMENSIONS, placed
+from quarry.functions.text import RAW_TOKEN
+from quarry.operators.tokens import best_places
 
 
-def hash_embedding(df: DataFrame, keys: Sequence[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Sparse signed feature hashing: ``keys..., ix, v`` with integer sums; empty buckets don't come out.
+_RAW = re.compile(RAW_TOKEN)
+
+
+def embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Sparse signed feature hashing of a text: arrays ``ix`` and ``v`` of integer sums, by bucket; without empty buckets.
 
-    Null texts and texts without tokens have no rows.
+    Null texts and texts without tokens have none. Hashed in Arrow batches, as ``tokens.terms``.
     """
-    tokens = df.select(*keys, F.explode_outer(raw_tokens(F.lower(F.col(text)))).alias("token")).where(F.col("token").isNotNull())
-    per_token = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))  # each token is hashed once a row
-    sums = per_token.groupBy(*keys, bucket(F.col("token"), dimensions).alias("ix")).agg(F.sum(F.col("n") * sign(F.col("token"))).alias("v"))
-    return sums.where(F.col("v") != 0)
 
+    @F.pandas_udf("ix array<int>, v array<bigint>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                sums: dict[int, int] = {}
+                for token, n in Counter(_RAW.findall(t.lower())).items() if t else ():
+                    ix, sign = placed(token, dimensions)
+                    sums[ix] = sums.get(ix, 0) + n * sign
+                out.append({ix: v for ix, v in sorted(sums.items()) if v})
+            yield pd.DataFrame({"ix": [list(s) for s in out], "v": [list(s.values()) for s in out]})
 
-def norms(sparse: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys..., sumsq``."""
-    return sparse.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("sumsq"))
+    return hashed.asNondeterministic()(text)
+
+
+def hash_embedding(df: DataFrame, keys: Sequence[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``keys..., ix, v``: the ``embedding`` of each row, which ``keys`` identify. Rows without tokens have no rows."""
+    made = df.select(*keys, embedding(F.col(text), dimensions).alias("__vector"))
+    return made.select(*keys, F.inline(F.arrays_zip("__vector.ix", "__vector.v")))
 
 
-def hash_cosine(chunks: DataFrame, queries: DataFrame, scope: str, document: str, query: str) -> DataFrame:
-    """``scope, query, document, score`` of sparse embeddings that share a bucket, within one scope.
+def cosines(documents: pd.DataFrame, queries: pd.DataFrame, most: int, dimensions: int = DIMENSIONS) -> pd.DataFrame:
+    """``q, seq, score``: the ``most`` documents of highest cosine for each query; ties go to the smaller ``seq``.
 
-    Integer dot products and squares make the score independent of the order of summation. Documents of score 0
-    that share no bucket don't come out; ``with_zeros`` adds them.
+    ``documents`` has ``seq, ix, v``, ``queries`` has ``q, ix, v``, both of one block, with arrays of buckets and
+    integer sums. Every document is ranked: without a shared bucket its score is 0, above negative ones. Integer
+    products make scores independent of the order of summation. One matrix product per 64 queries: pairs of query
+    and document are never spelt out.
     """
-    dots = (
-        chunks.select(scope, document, "ix", F.col("v").alias("dv"))
-        .join(queries.select(scope, query, "ix", F.col("v").alias("qv")), [scope, "ix"])
-        .groupBy(scope, query, document)
-        .agg(F.sum(F.col("dv") * F.col("qv")).alias("dot"))
-    )
-    sized = dots.join(norms(chunks, [scope, document]).withColumnRenamed("sumsq", "ds"), [scope, document]).join(
-        norms(queries, [scope, query]).withColumnRenamed("sumsq", "qs"), [scope, query]
-    )
-    return sized.select(scope, query, document, (F.col("dot") / (F.sqrt(F.col("ds").cast("double")) * F.sqrt(F.col("qs").cast("double")))).alias("score"))
-
-
-def with_zeros(scored: DataFrame, documents: DataFrame, queries: DataFrame, scope: str, document: str, query: str) -> DataFrame:
-    """``scope, query, document, score`` of every document in the scope of each of ``queries``: 0 where ``scored`` has none."""
-    pairs = queries.select(scope, query).join(documents.select(scope, document), scope)
-    return pairs.join(scored, [scope, query, document], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if documents.empty or queries.empty:
+        return pd.DataFrame({"q": [], "seq": [], "score": []})
+
+    def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        matrix = np.zeros((len(rows), dimensions))
+        sizes = rows["ix"].map(len).to_numpy()
+        if sizes.sum():
+            matrix[np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["ix"].to_numpy()).astype("int64")] = np.concatenate(rows["v"].to_numpy())
+        return matrix, np.sqrt((matrix * matrix).sum(axis=1))
+
+    documents = documents.sort_values("seq")
+    (a, long_a), (b, long_b) = dense(documents), dense(queries)
+    seqs, out = documents["seq"].to_numpy(), []
+    for begin in range(0, len(b), 64):
+        dots = b[begin : begin + 64] @ a.T
+        sizes = long_a[None, :] * long_b[begin : begin + 64, None]
+        for q, row in zip(queries["q"].iloc[begin : begin + 64], np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)):
+            found = best_places(row, most)
+            out.append((q, seqs[found], row[found]))
+    return pd.DataFrame({"q": np.repeat([q for q, _, _ in out], [len(s) for _, s, _ in out]), "seq": np.concatenate([s for _, s, _ in out]), "score": np.concatenate([r for _, _, r in out])})
 
 
 def missing_from_cache(chunks: DataFrame, cache: DataFrame, key: str = "chunk_hash") -> DataFrame:

@@ -13,7 +13,7 @@ from quarry.functions import ids, text
 from quarry.operators import answers, chunking, evaluation, guard, relevance, tokens, vectors
 from quarry.plans import evaluating, indexing, retrieval
 from quarry.plans.lineage import cut_lineage, shared_folder
-from quarry.session import table
+from quarry.session import spread, table
 from quarry.sources import tables, trees
 from quarry.streaming import requests as streams
 
@@ -64,8 +64,7 @@ def str1_raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def str2_code_token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = retrieval.documents(_chunks(spark, sf_dir))
-    counts = tokens.token_counts(docs, ["repo_id", "id"], {"chunk_text": 1})
+    counts = tokens.token_counts(retrieval.documents(spread(_chunks(spark, sf_dir))), ["repo_id", "id"], {"chunk_text": 1})
     return counts.groupBy("repo_id", "token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -261,17 +260,17 @@ def _leg(found: DataFrame) -> DataFrame:
 
 @registered
 def pip5_bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leg(retrieval.bm25_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10))
+    return _leg(retrieval.bm25_leg(_chunks(spark, sf_dir), questions(spark, sf_dir), 10))
 
 
 @registered
 def pip5_bm25_okapi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leg(retrieval.bm25_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10, "okapi"))
+    return _leg(retrieval.bm25_leg(_chunks(spark, sf_dir), questions(spark, sf_dir), 10, "okapi"))
 
 
 @registered
 def jn5_hash_cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leg(retrieval.vector_leg(retrieval.documents(_chunks(spark, sf_dir)), questions(spark, sf_dir), 10))
+    return _leg(retrieval.vector_leg(_chunks(spark, sf_dir), questions(spark, sf_dir), 10))
 
 
 @registered
@@ -283,8 +282,8 @@ def agg5_fused_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def flt8_filtered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector leg over chunks whose metadata match, beside those of the repository."""
-    docs = retrieval.documents(retrieval.matching(_chunks(spark, sf_dir), {"language": "typescript", "symbol_type": "function"}))
-    return _leg(retrieval.vector_leg(docs, questions(spark, sf_dir), 10))
+    chunks = retrieval.matching(_chunks(spark, sf_dir), {"language": "typescript", "symbol_type": "function"})
+    return _leg(retrieval.vector_leg(chunks, questions(spark, sf_dir), 10))
 
 
 @registered
@@ -310,8 +309,9 @@ def nlp2_question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def nlp3_assessed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heuristic score of each question's ten best chunks by BM25, upon their score."""
-    docs = retrieval.documents(_chunks(spark, sf_dir))
-    found = retrieval.bm25_leg(docs, questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6)).join(docs.drop("repo_id"), "id")
+    found = cut_lineage(retrieval.bm25_leg(_chunks(spark, sf_dir), questions(spark, sf_dir), 10))
+    docs = retrieval.documents(_chunks(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"))
+    found = found.withColumn("score", F.round("score", 6)).join(docs.drop("repo_id"), "id")
     scored = relevance.assessed(relevance.analyzed(found))
     return scored.select("repo_id", _md5(F.col("question")).alias("question_hash"), "id", "symbol_exact", "symbol_partial", "declares", "path_match", "preferred_file",
                          F.array_join("support_terms", " ").alias("support_terms"), "assessment")
@@ -362,8 +362,9 @@ def pip8_evaluation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def prj11_prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = retrieval.documents(_chunks(spark, sf_dir))
-    found = retrieval.bm25_leg(docs, questions(spark, sf_dir), 4).join(docs.drop("repo_id"), "id")
+    found = cut_lineage(retrieval.bm25_leg(_chunks(spark, sf_dir), questions(spark, sf_dir), 4))
+    docs = retrieval.documents(_chunks(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"))
+    found = found.join(docs.drop("repo_id"), "id")
     blocks = answers.prompt_blocks(found, QUERY)
     return blocks.select("repo_id", _md5(F.col("question")).alias("question_hash"), F.char_length("blocks").alias("length"), _md5(F.col("blocks")).alias("digest"))
 

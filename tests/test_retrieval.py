@@ -4,10 +4,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quarry.functions import text as primitives
 from quarry.operators import fusion, tokens, vectors
 from quarry.operators.answers import UNKNOWN, answered
 from quarry.operators.relevance import analyzed
-from quarry.plans.retrieval import documents, retrieve, vector_leg
+from quarry.plans import retrieval
+from quarry.plans.retrieval import bm25_leg, matching, retrieve, vector_leg
 
 CHUNK = "id string, repo_id string, file_path string, start_line int, end_line int, symbol_name string, symbol_type string, chunk_text string"
 
@@ -43,25 +45,38 @@ def code_tokens(text):
 def test_token_counts_as_plain_statement(spark):
     texts = ["server. server a.b b a", "requestLogger logger request RequestLogger", "x_y x_y y", "", "aB AB ab", "/ - 9", None]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, t string")
-    got = {(r.id, r.token): r.tf for r in tokens.token_counts(df, ["id"], {"t": 1}).collect()}
+    counts = tokens.token_counts(df, ["id"], {"t": 1})
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    distinct = {r.id: set(r.said or ()) for r in df.select("id", primitives.code_tokens(df.t).alias("said")).collect()}
+    got = {(r.id, r.token): r.tf for r in counts.collect()}
+    assert {i: {t for j, t in got if j == i} for i in distinct} == distinct
     want = {(str(i), k): n for i, t in enumerate(texts) if t for k, n in Counter(code_tokens(t)).items()}
     assert got == want
 
 
-def test_bm25_as_formula(spark):
-    docs = {"a": "red fox red", "b": "fox", "c": "blue bird"}
-    df = spark.createDataFrame([("r", k, v) for k, v in docs.items()], "repo string, id string, t string")
-    counts = tokens.token_counts(df, ["repo", "id"], {"t": 1})
-    asked = tokens.token_counts(spark.createDataFrame([("r", "q", "red red fox")], "repo string, q string, t string"), ["repo", "q"], {"t": 1})
-    got = {r.id: r.score for r in tokens.bm25(counts, tokens.corpus_stats(df, counts, "repo", "id"), asked, "repo", "id", "q").collect()}
-    n, avg = 3, 6 / 3
+@pytest.mark.parametrize("variant", ["simple", "okapi"])
+def test_bm25_as_formula(spark, monkeypatch, variant):
+    monkeypatch.setattr(retrieval, "SHARD", 2)  # several shards and blocks
+    monkeypatch.setattr(retrieval, "BLOCK", 1)
+    docs = {"a": "red fox red", "b": "fox", "c": "blue bird", "d": "fox", "e": "", "f": "fox owl"}
+    df = spark.createDataFrame([chunk("", 1, i, None, None, v) for i, v in enumerate(docs.values())] + [chunk("", 1, 9, None, None, "red", "s")], CHUNK)
+    asked = spark.createDataFrame([("r", "red red fox"), ("r", "bird"), ("r", "none"), ("s", "red")], "repo_id string, question string")
+    got = {(r.question, r.id): (r.score, r["rank"]) for r in bm25_leg(df, asked, 10, variant).where("repo_id = 'r'").collect()}
+    n, avg = len(docs), 9 / len(docs)
     df_of = Counter(w for v in docs.values() for w in set(v.split()))
+    idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) if variant == "simple" else math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df_of.items()}
+    if variant == "okapi":
+        mean = sum(idf.values()) / len(idf)
+        idf = {w: 0.25 * mean if x < 0 else x for w, x in idf.items()}
 
-    def score(v):
+    def score(v, q):
         tf, dl = Counter(v.split()), len(v.split())
-        return sum(math.log(1 + (n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * dl / avg)) for w in ["red", "red", "fox"] if tf[w])
+        return sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * max(dl, 1) / avg)) for w in q.split() if tf[w])
 
-    assert got == pytest.approx({k: score(v) for k, v in docs.items() if score(v)})
+    want = {(q, f"r::1-{i}"): score(v, q) for q in ("red red fox", "bird") for i, v in enumerate(docs.values()) if score(v, q) > 0}
+    assert {k: x for k, (x, _) in got.items()} == pytest.approx(want)
+    ranks = [k[1] for k, _ in sorted(((k, x) for k, x in got.items() if k[0] == "red red fox"), key=lambda kx: kx[1][1])]
+    assert ranks == [f"r::1-{i}" for i in (0, 1, 3, 5)]  # equal scores by place
 
 
 def test_nearest_as_brute_force(spark):
@@ -78,7 +93,10 @@ def test_nearest_as_brute_force(spark):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
-def test_vector_leg_ranks_all_chunks_of_the_repository(spark):
+@pytest.mark.parametrize("sizes", [(4096, 1024), (2, 1)])
+def test_vector_leg_ranks_all_chunks_of_the_repository(spark, monkeypatch, sizes):
+    monkeypatch.setattr(retrieval, "SHARD", sizes[0])
+    monkeypatch.setattr(retrieval, "BLOCK", sizes[1])
     from quarry.functions.ids import bucket, sign
 
     words = spark.createDataFrame([(f"w{i}",) for i in range(3000)], "w string")
@@ -90,7 +108,7 @@ def test_vector_leg_ranks_all_chunks_of_the_repository(spark):
     asked = spark.createDataFrame([("r", "w0"), ("r", "??"), ("none", "w0")], "repo_id string, question string")
 
     def leg(most):
-        rows = sorted(vector_leg(documents(chunks), asked, most).collect(), key=lambda r: (r.question, r["rank"]))
+        rows = sorted(vector_leg(chunks, asked, most).collect(), key=lambda r: (r.question, r["rank"]))
         return [(r.question, r.id[2], round(r.score, 6)) for r in rows]
 
     empty = [("??", k, 0) for k in "abcde"]
@@ -151,3 +169,11 @@ def test_embedding_cache(spark):
     made = vectors.embed_with(missing, "chunk_hash", "t", Fake)
     both = vectors.with_vectors(chunks, cache.unionByName(made))
     assert {(r.chunk_hash, tuple(r.vector or ())) for r in both.collect()} == {("h1", (2.0, 1.0)), ("h2", (0.0,)), (None, ())}
+
+
+def test_metadata_filters(spark):
+    chunks = spark.createDataFrame(CHUNKS, CHUNK)
+    assert {r.file_path for r in matching(chunks, {"symbol_type": "function", "repo_id": "r"}).collect()} == {"src/retrieval/hybridRetriever.ts"}
+    assert matching(chunks, {}).count() == len(CHUNKS)
+    with pytest.raises(ValueError):
+        matching(chunks, {"colour": "red"})
