@@ -137,7 +137,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.classified_files(table(spark, sf_dir, "chunks")).select(
-        "repo_id", "file_path", "language", F.coalesce("origin", F.lit("hand-written")).alias("origin"), "lines", "max_line", "n_shapes",
+        "repo_id", "file_path", "language", F.coalesce("origin", F.lit("hand-written")).alias("origin"), "evidence", "lines", "max_line", "n_shapes",
         *[F.round(c, 6).alias(c) for c in ("mean_line", "space_share", "alnum_share", "number_share", "encoded_share")],
     )
 
