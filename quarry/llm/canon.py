@@ -1,6 +1,6 @@
 """Problem 4: duplicates hidden by formatting, collapsed and counted.
 
-A text is reduced to its letters and digits, case folded; a JSON or YAML file to its fields in a canonical order.
+A text is reduced to its letters and digits, compatibility characters composed and case folded; a JSON or YAML file to its fields in a canonical order.
 The reduced text is hashed to 128 bits. A second, independent 64-bit hash and the length are part of the key, so
 that two different texts count as one only if all of them collide. Counts combine on the map side.
 """
@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: Letters and digits that a text needs to be compared by them alone; shorter ones must be equal as they are.
 LEAST = 40
 #: Languages whose whole files are compared field by field.
@@ -23,14 +26,14 @@ FIELD_LANGUAGES = ("json", "yaml")
 KEY = ["content_hash", "content_check", "content_length"]
 
 
-def letters_and_digits(text: Column) -> Column:
-    """The letters and digits of ``text`` in their order, case folded (by upper case, then lower)."""
-    upper = F.replace(F.upper(text), F.lit("ß"), F.lit("SS"))  # the one common letter whose upper case is two letters
-    return F.regexp_replace(F.lower(upper), r"[^\p{L}\p{N}]+", "")
-
-
 def fold(text: str) -> str:
-    return "".join(c for c in text.upper().lower() if c.isalnum())
+    """The letters and digits of ``text`` in their order, in compatibility composition and case folded.
+
+    Composed and decomposed accents, full-width forms and ligatures are so the same.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return "".join(filter(str.isalnum, text.casefold()))
 
 
 class _Pairs(list):
@@ -192,36 +195,39 @@ def fields(text: str | None, language: str) -> str | None:
 
 
 def content_keys(chunks: DataFrame) -> DataFrame:
-    """``id, content_hash, content_check, content_length`` of every row of ``chunks`` with id and text.
+    """``id, content_hash, content_check, content_length, short`` of every row of ``chunks`` with id and text.
 
     Texts with fewer than ``LEAST`` letters and digits are keyed by the text as it is. A JSON or YAML chunk that
     starts at line 1 and is its file's only one is keyed by its fields, if it can be read, together with its
-    language. Rows of null id or text don't come out.
+    language. Rows of null id or text don't come out. Texts are read once and don't move: both keys are made where
+    a text is read, and which one counts is settled on keys. Only texts beyond ASCII and JSON and YAML go to Python.
     """
-    rows = chunks.select("id", "repo_id", "file_path", "language", "start_line", "chunk_text").where(F.col("id").isNotNull() & F.col("chunk_text").isNotNull())
+    text, named = F.col("chunk_text"), F.col("repo_id").isNotNull() & F.col("file_path").isNotNull()
     by_field = F.coalesce(F.col("language").isin(*FIELD_LANGUAGES), F.lit(False))
-    file = ["repo_id", "file_path"]
-    longer = rows.where(by_field & (F.col("start_line") > 1)).select(*file, F.lit(True).alias("__longer")).distinct()
-    candidates = rows.where(by_field).join(longer, file, "left")
-    whole = (F.col("start_line") == 1) & F.col("__longer").isNull() & F.col("repo_id").isNotNull() & F.col("file_path").isNotNull()
+    rows = spread(chunks.select("id", "repo_id", "file_path", "language", "start_line", "chunk_text").where(F.col("id").isNotNull() & text.isNotNull()))
 
-    @F.pandas_udf("string")
-    def by_fields(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("plain string, fields string")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, languages in batches:
-            yield pd.Series([fields(t, x) for t, x in zip(texts, languages)], dtype=object)
-
-    text = F.col("chunk_text")
-    plain = letters_and_digits(text)
-    said = F.when(F.char_length("__plain") >= LEAST, F.col("__plain")).otherwise(F.concat(F.lit("="), text))
-    read = candidates.select("id", "language", text, plain.alias("__plain"), by_fields(F.when(whole, text), F.col("language")).alias("__fields"))
-    structured = read.select(
-        "id", F.when(F.col("__fields").isNotNull() & (F.char_length("__plain") >= LEAST), F.concat("language", F.lit("\n"), "__fields")).otherwise(said).alias("__said")
-    )
-    unstructured = rows.where(~by_field).select("id", text, plain.alias("__plain")).select("id", said.alias("__said"))
-    return unstructured.unionByName(structured).select(
-        "id", F.unhex(F.md5("__said")).alias("content_hash"), F.xxhash64("__said").alias("content_check"), F.char_length("__said").alias("content_length"),
-        F.startswith("__said", F.lit("=")).alias("short"),
-    )
+            plain = [fold(t) if t is not None else None for t in texts]
+            yield pd.DataFrame({"plain": plain, "fields": [fields(t, x) if x is not None else None for t, x in zip(texts, languages)]}, dtype=object)
+
+    at_first = by_field & named & (F.col("start_line") == 1)
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    given = rows.withColumn("__read", read.asNondeterministic()(F.when(beyond | at_first, text), F.when(at_first, F.col("language"))))
+    plain = F.coalesce("__read.plain", F.regexp_replace(F.lower(text), "[^a-z0-9]+", ""))
+    folded = given.select("id", "repo_id", "file_path", "language", text, plain.alias("__plain"), F.col("__read.fields").alias("__fields"))
+
+    def key(said: Column, short: Column) -> Column:
+        return F.struct(F.unhex(F.md5(said)).alias("content_hash"), F.xxhash64(said).alias("content_check"), F.char_length(said).alias("content_length"), short.alias("short"))
+
+    short = F.char_length("__plain") < LEAST
+    said = F.when(short, F.concat(F.lit("="), text)).otherwise(F.col("__plain"))
+    whole = F.when(F.col("__fields").isNotNull() & ~short, key(F.concat("language", F.lit("\n"), "__fields"), F.lit(False)))
+    keyed = folded.select("id", "repo_id", "file_path", key(said, short).alias("by_text"), whole.alias("by_fields"))
+    longer = chunks.where(by_field & (F.col("start_line") > 1)).select("repo_id", "file_path", F.lit(True).alias("__longer")).distinct()
+    settled = keyed.join(longer, ["repo_id", "file_path"], "left").withColumn("k", F.when(F.col("__longer").isNull(), F.coalesce("by_fields", "by_text")).otherwise(F.col("by_text")))
+    return settled.select("id", "k.*")
 
 
 def contents(keys: DataFrame) -> DataFrame:

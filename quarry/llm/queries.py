@@ -12,7 +12,7 @@ from quarry.llm import mix as mixing
 from quarry.llm import pack as packing
 from quarry.llm import pii, quantiles, split, tokens
 from quarry.plans.lineage import cut_lineage
-from quarry.session import table
+from quarry.session import spread, table
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 #: A latency of a million ms (a quarter of an hour) or more is one in nanoseconds.
@@ -127,6 +127,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.copies(canon.content_keys(table(spark, sf_dir, "chunks")))
 
 
+def p4_code_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies among chunks that aren't compared by field."""
+    plain = table(spark, sf_dir, "chunks").where(~F.coalesce(F.col("language").isin(*canon.FIELD_LANGUAGES), F.lit(False)))
+    return canon.copies(canon.content_keys(plain))
+
+
+P4_SQL = """
+    WITH plain AS (SELECT DISTINCT id, regexp_replace(lower(replace(upper(nfc_normalize(chunk_text)), 'ß', 'SS')), '[^\\p{L}\\p{N}]+', '', 'g') AS said FROM chunks
+      WHERE id IS NOT NULL AND chunk_text IS NOT NULL AND coalesce(language, '') NOT IN ('json', 'yaml')),
+    sets AS (SELECT said, min(id) AS id_a FROM plain WHERE length(said) >= 40 GROUP BY said HAVING count(*) > 1)
+    SELECT id_a, id AS id_b FROM plain JOIN sets USING (said) WHERE id <> id_a"""
+
+
 def p4_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.contents(canon.content_keys(table(spark, sf_dir, "chunks"))).select(F.hex("content_hash").alias("content_hash"), "id", "n_copies", "n_rows")
 
@@ -143,7 +156,7 @@ def p5_file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.withColumn("n_tokens", tokens.n_tokens(F.col("text")))
 
 
@@ -153,6 +166,19 @@ def p6_packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_sized(spark, sf_dir), named)
 
 
+def p6_packing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per limit: texts that are packed, contexts over their capacity, texts split though they fit, and texts that aren't whole."""
+    sized = _sized(spark, sf_dir).where(F.col("n_tokens") > 0).select("doc_id", "n_tokens")
+    packed = cut_lineage(p6_packed_contexts(spark, sf_dir))
+    used = packed.groupBy("limit_name", "capacity", "context_id").agg(F.sum("size").alias("n")).groupBy("limit_name", "capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    ends = packed.groupBy("limit_name", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("size")).alias("end"), F.min("start_token").alias("begin"))
+    texts = ends.join(sized, "doc_id").groupBy("limit_name").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("split_needlessly"),
+        F.count_if((F.col("begin") > 0) | (F.col("end") != F.col("n_tokens"))).alias("cut_short"),
+    )
+    return used.join(texts, "limit_name").select("limit_name", "capacity", "texts", "overfull", "split_needlessly", "cut_short")
+
+
 def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per limit: contexts, tokens, share of the capacity that is used, and the least number of contexts that could do."""
     contexts = p6_packed_contexts(spark, sf_dir).groupBy("limit_name", "capacity", "context_id").agg(F.sum("size").alias("used"))
@@ -200,8 +226,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_code_descriptions, p2_latency_percentiles_daily, p2_latency_percentiles, p2_error_bounds, p3_found, p3_pieces,
-        p4_found, p4_contents, p5_found, p5_file_origins,
-        p6_packed_contexts, p6_fill_report, p7_mixture, p7_shares, p7_share_check, p8_found, p8_redacted,
+        p4_found, p4_code_copies, p4_contents, p5_found, p5_file_origins,
+        p6_packed_contexts, p6_packing_check, p6_fill_report, p7_mixture, p7_shares, p7_share_check, p8_found, p8_redacted,
     )
 }
 
@@ -216,5 +242,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_latency_percentiles": _p2_sql("repo_id"),
         "p2_error_bounds": P2_WITHIN_SQL,
         "p3_found": P3_SQL,
+        "p4_code_copies": P4_SQL,
+        "p6_packing_check": """SELECT limit_name, max_size AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS texts, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_needlessly,
+          CAST(0 AS BIGINT) AS cut_short FROM size_limits WHERE limit_name LIKE 'pack_%' AND unit = 'tokens'""",
         "p7_share_check": "SELECT source, target_share, true AS share_met, true AS cap_kept FROM mix_targets",
     }

@@ -1,7 +1,9 @@
 import json
 import random
+import unicodedata
 
 from quarry.llm import canon
+from quarry.llm.canon import contents, content_keys, copies, fold
 
 CHUNK = "id string, repo_id string, file_path string, language string, start_line int, chunk_text string, content_hash string"
 
@@ -55,3 +57,19 @@ def test_hot_content_against_brute_force(spark):
         groups.setdefault(canon.fold(r[5]), []).append(r[0])
     want = sorted((min(v), x) for v in groups.values() for x in v if x != min(v))
     assert sorted(map(tuple, canon.copies(canon.content_keys(spark.createDataFrame(data, CHUNK))).collect())) == want
+
+
+def test_compatibility_characters_are_the_same(spark):
+    plain = "résumé of the office: ffi ligatures, full width ABC 123 and the strasse of Übermaß"
+    decomposed = unicodedata.normalize("NFD", plain)
+    wide = plain.replace("ffi", "\ufb03").replace("ABC 123", "\uff21\uff22\uff23 \uff11\uff12\uff13").replace("Übermaß", "ÜBERMASS").replace("strasse", "straße")
+    assert fold(plain) == fold(decomposed) == fold(wide) == fold(wide.upper())
+    rows = [("a", "r", "a.py", "python", 1, plain), ("b", "r", "b.py", "python", 1, decomposed), ("c", "r", "c.py", "python", 1, wide), ("d", "r", "d.py", "python", 1, plain.replace("é", "e"))]
+    df = spark.createDataFrame(rows, "id string, repo_id string, file_path string, language string, start_line int, chunk_text string")
+    assert sorted(tuple(r) for r in copies(content_keys(df)).collect()) == [("a", "b"), ("a", "c")]
+
+
+def test_texts_are_read_once(spark):
+    df = spark.createDataFrame([("a", "r", "a.py", "python", 1, "x" * 50)], "id string, repo_id string, file_path string, language string, start_line int, chunk_text string")
+    plan = contents(content_keys(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -73,3 +73,10 @@ def test_addresses_as_written():
     assert values("| Calle del Fresno, 220 | C/ Molino Viejo n.º 54 |") == ["Calle del Fresno, 220", "C/ Molino Viejo n.º 54"]
     assert values("in Kranichstraße 37 b im Hof") == ["Kranichstraße 37 b"]
     assert values("213 Tallow St. Recall went; 33 Copperfield Rd.") == ["213 Tallow St.", "33 Copperfield Rd"]
+
+
+def test_long_house_numbers_and_addresses_of_mail_far_away():
+    rows = scan("They moved to 12345 Heron Lane and then to Reiherstraße 12875 in spring.")
+    assert [(r[0], r[5], r[11]) for r in rows if r[0] == "address"] == [("address", "heronlane", "address"), ("address", "reiherstrasse", "address")]
+    far = "Mira Velhart wrote this. " + "It says nothing at all. " * 60 + "Write to mira.velhart@example.org about it."
+    assert [r[11] for r in scan(far) if r[0] == "name" and r[5] == "mira"] == ["name"]
