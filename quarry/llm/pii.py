@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.piiscan import scan
 from quarry.plans.lineage import cut_lineage
+from quarry.session import spread
 
 #: Rounds of the scoring; score from which an instance is known, and that from which a pattern is confident.
 ROUNDS = 3
@@ -59,7 +60,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield frame
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    return source.mapInPandas(read, f"doc_id bigint, {_MENTION}, value string, long_value string")
+    return spread(source).mapInPandas(read, f"doc_id bigint, {_MENTION}, value string, long_value string")
 
 
 def _labelled(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
@@ -42,7 +43,7 @@ _LETTER = re.compile(r"[ ][A-Z](?![\w@'’-])")
 
 _COMMA = re.compile(rf",[ ][{_UPPER}]")
 
-_HOUSE = r"\d{1,4}"
+_HOUSE = r"\d+"
 #: Public street words by language; the last word, the first word or the ending of a street name.
 _EN = "Lane Road Rd Street St Avenue Ave Close Way Crescent Drive Court Place Square Terrace Boulevard Blvd Gardens Grove Row Mews Hill Walk Parade Ln Ct Cres Sq Ter".split()
 _FR = "rue avenue av. boulevard bd place allée allées chemin quai impasse passage cours route square sentier ruelle esplanade faubourg".split()
@@ -54,7 +55,7 @@ ADDRESS_EN = re.compile(rf"(?<![\w.,/:#-])(?P<n>{_HOUSE}[ ]?(?:[A-Za-z](?=[ ]))?
 ADDRESS_FR = re.compile(
     rf"(?<![\w.,/:#-])(?P<n>{_HOUSE}(?:[ ]?(?:bis|ter|quater|[A-Z])\b)?),?[ ](?P<s>(?i:{'|'.join(map(re.escape, _FR))})[ ](?:(?:{_SMALL}[ ]?)+{_CAP}|{_CAP}(?:[ ]{_CAP})?))"
 )
-_HOUSE_AFTER = rf"\d{{1,3}}(?:[ ]?[a-z](?![\w'’]))?(?![\d]|[./:-]\d|[ ]?/|[ ][\d(]|\w)"
+_HOUSE_AFTER = rf"\d+(?:[ ]?[a-z](?![\w'’]))?(?![\d]|[./:-]\d|[ ]?/|[ ][\d(]|\w)"
 ADDRESS_AFTER = re.compile(
     rf"(?<![\w@/#-])(?P<s>(?:C/[ ]?)?{_CAP}\.?(?:[ ](?:{_SMALL}|an der|an den|auf der|in der|zum|zur|am|im|der|den|dem)){{0,2}}(?:[ ]{_CAP}\.?){{0,3}}),?[ ](?:n\.?º|nº|n°|núm\.|Nr\.|No\.)?[ ]?(?P<n>{_HOUSE_AFTER})"
 )
@@ -87,24 +88,32 @@ def _is_capital(token: str) -> bool:
     return token[0].isupper()
 
 
-def _email_says(local: str, given: str, family: str) -> bool:
-    """Whether the local part of an address is made of this name."""
-    base = fold(re.sub(r"\+.*", "", local))
-    return len(family) >= 4 and base in (given + family, given[:1] + family) or len(family) >= 5 and "+" in local and base == family
+class _Spelt:
+    """The names that the addresses of a document spell, wherever they stand in it."""
+
+    def __init__(self, locals_: Iterable[str]) -> None:
+        self.whole: set[str] = set()
+        self.tagged: set[str] = set()
+        for local in locals_:
+            base = fold(re.sub(r"\+.*", "", local))
+            self.whole.add(base)
+            if "+" in local:
+                self.tagged.add(base)
+
+    def says(self, given: str, family: str) -> bool:
+        """Whether the local part of an address is made of this name."""
+        return len(family) >= 4 and (given + family in self.whole or given[:1] + family in self.whole) or len(family) >= 5 and family in self.tagged
 
 
 def _name_rows(text: str, emails: list[tuple[int, int, str]]) -> list[tuple]:
     rows: list[tuple] = []
+    spelt = _Spelt(local for _, _, local in emails)
 
     def add(group: int, given: str, family: str, start: int, end: int, middle: str | None, long_end: int | None, long_family: str | None) -> None:
         g = fold(given.split("-")[0])
         initial = given.endswith(".")
-        seen = any(
-            abs(s - end) < 400
-            and (_email_says(local, fold(given), fold(family)) or long_family is not None and _email_says(local, fold(given), fold(long_family)))
-            for s, _, local in emails
-        )
-        by_long = long_family is not None and any(abs(s - end) < 400 and _email_says(local, fold(given), fold(long_family)) for s, _, local in emails)
+        by_long = long_family is not None and spelt.says(fold(given), fold(long_family))
+        seen = by_long or spelt.says(fold(given), fold(family))
         at = contexts(text, start, long_end if by_long and long_end else end)
         rows.append(("name", group, start, end, long_end, g + "." if initial else g, fold(middle.split("-")[0]) + ("." if middle.endswith(".") else "") if middle else None, fold(family), fold(long_family) if long_family else None, by_long, at, "name" if seen else None))
 
