@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: Thresholds by language; ``*`` holds where a language has none of its own, None switches a test off.
 #: long_line, mean_line and spaces: a file is minified whose longest line and mean line are at least so long, with
 #: at most this share of white space. numbers, encoded and alnum: it is bulk data from this share of number literals or
@@ -69,17 +71,20 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
 
 
-def _filled(text: Column) -> Column:
-    """The lines of ``text`` that aren't blank, each run of white space as one space."""
-    return F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
-
-
 def shape_counts(chunks: DataFrame) -> DataFrame:
-    """``repo_id, file_path, n_shapes``: the number of different line shapes of each file; one row a shape is shuffled."""
-    text = F.col("chunk_text")
-    shapes = F.array_distinct(F.transform(_filled(F.regexp_replace(F.regexp_replace(text, r"[\p{L}]+", "a"), r"\d+", "9")), lambda x: F.xxhash64(x)))
-    kept = chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & text.isNotNull())
-    return kept.select("repo_id", "file_path", F.explode(shapes).alias("shape")).distinct().groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("n_shapes"))
+    """``repo_id, file_path, n_shapes``: the number of different shapes of a file's lines that aren't blank; one row a shape is shuffled.
+
+    In a shape words are ``a``, numbers ``9`` and runs of white space one space; white space at the ends doesn't count.
+    """
+    words = F.regexp_replace(F.regexp_replace(F.col("chunk_text"), r"\p{L}+", "a"), r"\d+", "9")
+    lines = F.split(F.regexp_replace(words, r"[\s\u00A0&&[^\r\n]]+", " "), r"[\r\n]+")
+    shapes = F.array_distinct(F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    kept = chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & F.col("chunk_text").isNotNull())
+    # the outer form keeps the optimizer from making all shapes once more for a test of emptiness
+    return (
+        kept.select("repo_id", "file_path", F.explode_outer(shapes).alias("shape")).where(F.col("shape").isNotNull()).distinct()
+        .groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("n_shapes"))
+    )
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
@@ -92,17 +97,17 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     def left_by(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(text, pattern, ""))
 
-    lines = _filled(text)
+    spaces = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0)))
     between = F.coalesce(F.col("symbol_type"), F.lit("context")) == "context"  # not a comment inside a function or class
     return chunks.where(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & text.isNotNull()).select(
         "repo_id", "file_path", "language", "end_line",
         F.char_length(text).cast("long").alias("chars"),
-        left_by(r"[\s ]+").cast("long").alias("visible"),
+        F.char_length(F.translate(text, spaces, "")).cast("long").alias("visible"),
         left_by(r"[^\p{L}\p{N}]+").cast("long").alias("alnum"),
         (F.char_length(text) - left_by(r"\b(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)\b")).cast("long").alias("number_chars"),
-        (F.char_length(text) - left_by(r"[A-Za-z0-9+/_-]{60,}={0,2}|\b[0-9a-f]{16,}\b|(?:\\x[0-9a-fA-F]{2}){8,}")).cast("long").alias("encoded_chars"),
+        (F.char_length(text) - left_by(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{60,}={0,2}|\b[0-9a-f]{16,}\b|(?:\\x[0-9a-fA-F]{2}){8,}")).cast("long").alias("encoded_chars"),
         F.array_max(F.transform(F.split(text, r"\R"), lambda x: F.char_length(x))).alias("max_line"),
-        F.size(lines).cast("long").alias("lines"),
+        F.regexp_count(text, F.lit(r"[^\s\u00A0][^\r\n]*")).cast("long").alias("lines"),
         (between & text.rlike(GENERATED_NOTICE)).alias("generated_notice"),
         (between & text.rlike(VENDOR_NOTICE)).alias("vendor_notice"),
         (between & text.rlike(LOCK_CONTENT)).alias("lock_content"),
@@ -161,4 +166,5 @@ def classified_files(chunks: DataFrame) -> DataFrame:
         .when(F.col("generated_notice") | F.col("lock_content") | named, "generated").when(data, "data").when(repetitive, "generated")
     )
     evidence = F.when(by_layout, "layout").when(notice, "notice").otherwise("path")
-    return file_statistics(chunks).withColumn("origin", origin).withColumn("evidence", F.when(F.col("origin").isNotNull(), evidence))
+    read = spread(chunks.select("repo_id", "file_path", "language", "start_line", "end_line", "symbol_type", "chunk_text"))
+    return file_statistics(read).withColumn("origin", origin).withColumn("evidence", F.when(F.col("origin").isNotNull(), evidence))
