@@ -65,13 +65,13 @@ def limited(requests: DataFrame, policies=POLICIES) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, log = None, deque()
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                group = (r.policy, r.client, r.run)
+            decided = []
+            for *group, at, most, window in zip(*(pdf[c].tolist() for c in ("policy", "client", "run", "at", "most", "window"))):
                 if group != current:
                     current, log = group, deque()
-                out.append((r.request_id, r.policy, r.client, *decide(log, r.at, r.most, r.window)))
-            yield pd.DataFrame(out, columns=["request_id", "policy", "client", "accepted", "remaining", "retry_after"])
+                decided.append(decide(log, at, most, window))
+            made = pd.DataFrame(decided, columns=["accepted", "remaining", "retry_after"])
+            yield pd.concat([pdf[["request_id", "policy", "client"]].reset_index(drop=True), made], axis=1)
 
     return placed.select("request_id", *key, "run", "at", "most", "window").mapInPandas(
         run, "request_id string, policy string, client string, accepted boolean, remaining bigint, retry_after bigint"

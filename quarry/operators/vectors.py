@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ids import DIMENSIONS, placed
 from quarry.functions.text import RAW_TOKEN
 from quarry.operators.tokens import best_places
+from quarry.plans.lineage import cut_lineage
 
 
 _RAW = re.compile(RAW_TOKEN)
@@ -81,6 +82,12 @@ def missing_from_cache(chunks: DataFrame, cache: DataFrame, key: str = "chunk_ha
     return chunks.where(F.col(key).isNotNull()).dropDuplicates([key]).join(cache, key, "left_anti")
 
 
+def known_vectors(cache: DataFrame, new: DataFrame, key: str = "chunk_hash") -> DataFrame:
+    """``key, vector``: the cached vectors and those newly made whose key the cache lacks, each key once."""
+    made = new.select(key, "vector").dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+    return cache.select(key, "vector").dropDuplicates([key]).unionByName(made)
+
+
 def with_vectors(chunks: DataFrame, cache: DataFrame, key: str = "chunk_hash") -> DataFrame:
     """``chunks`` with the column ``vector`` of ``cache``, null where there is none."""
     return chunks.join(cache.select(key, "vector"), key, "left")
@@ -100,38 +107,103 @@ def embed_with(df: DataFrame, key: str, text: str, make_provider, batch: int = 2
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, vector array<float>")
 
 
+def _units(rows: pd.Series) -> np.ndarray:
+    matrix = np.vstack(rows.to_numpy()).astype("float64")
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(lengths == 0, 1, lengths)
+
+
+def _centers(sample: np.ndarray, most: int, rounds: int = 4) -> np.ndarray:
+    """Unit centers of a sample of unit vectors, by a few rounds of spherical k-means from evenly spaced members."""
+    centers = sample[:: max(1, len(sample) // most)][:most]
+    for _ in range(rounds):
+        mine = np.argmax(sample @ centers.T, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, mine, sample)
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(lengths > 0, sums / np.where(lengths == 0, 1, lengths), centers)
+    return centers
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, most: int, vector: str = "embedding", key: str = "vec_id", shard_rows: int = 20_000, block_rows: int = 1_000
-) -> DataFrame:
+    vectors: DataFrame, queries: DataFrame, most: int, vector: str = "embedding", key: str = "vec_id",
+    shard_rows: int = 20_000, block_rows: int = 1_000, centers: int = 64, sample_rows: int = 4_096,
+) -> DataFrame:
     """``query_id, key, score, rank``: for each query the ``most`` vectors of highest cosine, itself excluded; exact.
 
-    The vectors are cut into shards and the queries into blocks of bounded size; each pair is one matrix product
-    in one task and sends only its best rows on. Null vectors are left out, zero vectors have cosine 0, ties go to
-    the smaller key.
+    Vectors lie in the cells of ``centers`` centers, which are fitted on a sample of at most ``sample_rows`` vectors.
+    A query searches its own cell first. Of the other cells it visits those that may hold something as good as
+    what it found: by the triangle inequality no vector of a cell is nearer than the center less the cell's radius.
+    Cells are cut into shards and queries into blocks of bounded size; each pair is one matrix product in one task
+    and sends only its best rows on. Null vectors are left out, zero vectors have cosine 0, ties go to the smaller key.
     """
     usable, asked = vectors.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
-    shards, blocks = max(1, -(-usable.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
-    data = usable.select(F.col(key).alias("k"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"))
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    seek = asked.select(F.col(key).alias("k"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    seek = seek.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    kind = vectors.schema[key].dataType.simpleString()
+    rows = usable.select(vector).orderBy(F.xxhash64(key)).limit(sample_rows).toPandas()
+    sample = _units(rows[vector]) if len(rows) else np.zeros((0, 1))
+    sample = sample[np.linalg.norm(sample, axis=1) > 0]
+    fitted = _centers(sample, centers) if len(sample) else np.zeros((0, 1))
+    n_cells = len(fitted) + 1  # the last cell is that of zero vectors
+
+    def angles(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        units = _units(pdf["x"])
+        cosine = units @ fitted.T if len(fitted) else np.zeros((len(pdf), 0))
+        return units, np.arccos(np.clip(cosine, -1, 1))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                units, angle = angles(pdf)
+                zero = ~units.any(axis=1)
+                cell = np.where(zero, n_cells - 1, angle.argmin(axis=1) if angle.shape[1] else 0)
+                yield pdf.assign(cell=cell, angle=np.where(zero, 0.0, angle.min(axis=1, initial=np.pi)))
+
+    placed = cut_lineage(usable.select(F.col(key).alias("k"), F.col(vector).alias("x")).mapInPandas(place, f"k {kind}, x {vectors.schema[vector].dataType.simpleString()}, cell int, angle double"))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()  # one row a cell
+    radius, shards = np.full(n_cells, -1.0), [1] * n_cells
+    for c in cells:
+        radius[c.cell], shards[c.cell] = c.radius, -(-c.n // shard_rows)
+    blocks = max(1, -(-asked.count() // block_rows))
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                units, angle = angles(pdf)
+                best = np.zeros((len(pdf), n_cells))
+                best[:, :-1] = np.cos(np.maximum(0, angle - radius[:-1]))
+                zero = ~units.any(axis=1)
+                best[zero] = 0
+                best[:, radius < 0] = -2  # empty cells
+                yield pdf.assign(home=best.argmax(axis=1), bounds=list(best))
+
+    seek = asked.select(F.col(key).alias("query_id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    seek = cut_lineage(seek.mapInPandas(bound, f"query_id {kind}, x {vectors.schema[vector].dataType.simpleString()}, block int, home int, bounds array<double>"))
+    n_shards = F.get(F.array(*map(F.lit, shards)), F.col("cell"))
+    data = placed.select("k", "x", "cell", F.pmod(F.xxhash64("k"), n_shards).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "k": [], "score": []})
-        a, b = (np.vstack(p["x"].to_numpy()).astype("float64") for p in (left, right))
-        a, b = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (a, b))
-        score = np.round(b @ a.T, 9)
-        ids = left["k"].to_numpy()
-        out = []
-        for row, q in zip(score, right["k"].to_numpy()):
+        left = left.sort_values("k")
+        ids, out = left["k"].to_numpy(), []
+        for row, q in zip(np.round(_units(right["x"]) @ _units(left["x"]).T, 9), right["query_id"].to_numpy()):
             row = np.where(ids == q, -np.inf, row)
-            top = np.lexsort((ids, -row))[:most]
+            top = best_places(row, most)
             out.append(pd.DataFrame({"query_id": q, "k": ids[top], "score": row[top]}))
         found = pd.concat(out)
         return found[np.isfinite(found["score"])]
 
-    kind = vectors.schema[key].dataType.simpleString()
-    pairs = data.groupBy("shard", "block").cogroup(seek.groupBy("shard", "block")).applyInPandas(best, f"query_id {kind}, k {kind}, score double")
+    def searched(visits: DataFrame) -> DataFrame:
+        pairs = visits.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards.cast("long") - 1)))
+        group = ["cell", "shard", "block"]
+        return data.groupBy(*group).cogroup(pairs.groupBy(*group)).applyInPandas(best, f"query_id {kind}, k {kind}, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "k")
+    at_home = cut_lineage(searched(seek.select("query_id", "x", "block", F.col("home").alias("cell"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most))
+    worst = at_home.where(F.col("rank") == most).select("query_id", F.col("score").alias("worst"))
+    elsewhere = (
+        seek.join(worst, "query_id", "left").select("*", F.posexplode("bounds").alias("cell", "bound"))
+        .where((F.col("cell") != F.col("home")) & (F.col("bound") > -2) & (F.col("bound") >= F.coalesce("worst", F.lit(-2.0)) - 1e-7))
+    )
+    pairs = at_home.drop("rank").unionByName(searched(elsewhere.select("query_id", "x", "block", "cell")))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumnRenamed("k", key)

@@ -139,3 +139,15 @@ def embed_stream(chunks: DataFrame, cache_path: str, checkpoint: str, make_provi
         tables.append_new(None, embed_with(unseen, "chunk_hash", "chunk_text", make_provider).withColumn("provider", F.lit(provider)), cache_path, name)
 
     return chunks.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start()
+
+
+def replace_stream(chunks: DataFrame, path: str, checkpoint: str):
+    """A started stream of chunk rows, of whole repositories at a time: each micro-batch replaces the partitions of its repositories.
+
+    Rows of one id count once. A batch that is tried again replaces the same partitions.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        tables.replace_repos(batch.dropDuplicates(["id"]), path)
+
+    return chunks.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start()

@@ -137,17 +137,19 @@ def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", top_
     else:
         found = legs[mode][0]
     found = cut_lineage(found.select(*QUERY, "id", "score", "rank"))
-    # texts of pooled chunks only: the semi join comes before the rows of an id are made one
-    docs = documents(chunks.join(found.select("id").distinct(), "id", "left_semi"))
-    source = mode
-    if not rerank:
-        found = found.join(docs.drop("repo_id"), "id")
+    source = f"{mode}+heuristic" if rerank else mode
+    if rerank:
+        # questions are analyzed and chunks taken apart once each, before they meet; only scores leave the pairs
+        pooled = chunk_features(_texts_of(chunks, found))
+        scored = assessed(found.join(pooled, "id").join(written(analyzed(asked)), QUERY)).select(*QUERY, "id", "file_path", "rank", F.col("assessment").alias("score"))
+        again = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), "rank")
+        found = scored.withColumn("rank", F.row_number().over(again))
     else:
-        # questions are analyzed and chunks taken apart once each, before they meet
-        scored = assessed(found.join(chunk_features(docs.drop("repo_id")), "id").join(analyzed(asked), QUERY))
-        again = Window.partitionBy(*QUERY).orderBy(F.col("assessment").desc(), "rank")
-        found = scored.withColumn("rank", F.row_number().over(again)).select(
-            *QUERY, "id", F.col("assessment").alias("score"), "rank", *[c for c in docs.columns if c not in ("id", "repo_id")]
-        )
-        source = f"{mode}+heuristic"
-    return fusion.diversified(found, QUERY, "file_path", per_file, top_k).withColumn("source", F.lit(source))
+        found = found.join(profiles.select("id", "file_path"), "id")
+    best = cut_lineage(fusion.diversified(found, QUERY, "file_path", per_file, top_k).drop("file_path"))
+    return best.join(_texts_of(chunks, best), "id").withColumn("source", F.lit(source))
+
+
+def _texts_of(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of ``found`` without their repository: the semi join comes before the rows of an id are made one."""
+    return documents(chunks.join(found.select("id").distinct(), "id", "left_semi")).drop("repo_id")

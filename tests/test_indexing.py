@@ -103,3 +103,13 @@ def test_pair_scorer(spark):
     got = providers.rescored(df, ["question"], "question", "t", lambda: lambda pairs: [len(b) for _, b in pairs], 2).collect()
     assert sorted((r["rank"], r.t) for r in got) == [(1, "bbbb"), (2, "aa")]
     assert [r.payload for r in providers.generated(df, "t", lambda: str.upper).orderBy("rank").collect()] == ["AA", "BBBB", None]
+
+
+def test_streamed_repositories_are_replaced(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "repo_id string, id string, chunk_text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: indexing.replace_stream(spark.readStream.schema("repo_id string, id string, chunk_text string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    make([("a", "a1", "x"), ("a", "a1", "x"), ("a", "a2", "y"), ("b", "b1", "z")])
+    run()
+    make([("a", "a3", "w")])
+    run()
+    assert sorted((r.repo_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "a3"), ("b", "b1")]

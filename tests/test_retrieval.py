@@ -79,18 +79,22 @@ def test_bm25_as_formula(spark, monkeypatch, variant):
     assert ranks == [f"r::1-{i}" for i in (0, 1, 3, 5)]  # equal scores by place
 
 
-def test_nearest_as_brute_force(spark):
+@pytest.mark.parametrize("spread", [1.0, 0.05])
+def test_nearest_as_brute_force(spark, spread):
     rng = np.random.default_rng(1)
-    data = rng.normal(size=(300, 8)).round(3)
+    data = (rng.normal(size=(6, 8))[rng.integers(0, 6, 300)] + spread * rng.normal(size=(300, 8))).round(3)
     data[7] = data[3]
+    data[40] = data[11] = 0
     rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(999, None)], "vec_id long, embedding array<double>")
-    got = vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 5, shard_rows=70, block_rows=4).collect()
-    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    got = vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 5, shard_rows=20, block_rows=4, centers=7).collect()
+    unit = data / np.where((n := np.linalg.norm(data, axis=1, keepdims=True)) == 0, 1, n)
     for q in range(0, 300, 20):
         s = np.round(unit @ unit[q], 9)
         s[q] = -9
         want = list(np.lexsort((np.arange(300), -s))[:5])
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert vectors.nearest(rows.limit(0), rows, 5).count() == vectors.nearest(rows, rows.limit(0), 5).count() == 0
+    assert {r["rank"] for r in vectors.nearest(rows.where("vec_id < 3"), rows.where("vec_id = 1"), 5).collect()} == {1, 2}
 
 
 @pytest.mark.parametrize("sizes", [(4096, 1024), (2, 1)])
@@ -167,7 +171,7 @@ def test_embedding_cache(spark):
     missing = vectors.missing_from_cache(chunks, cache)
     assert [r.chunk_hash for r in missing.collect()] == ["h1"]
     made = vectors.embed_with(missing, "chunk_hash", "t", Fake)
-    both = vectors.with_vectors(chunks, cache.unionByName(made))
+    both = vectors.with_vectors(chunks, vectors.known_vectors(cache, made.unionByName(made).unionByName(cache)))
     assert {(r.chunk_hash, tuple(r.vector or ())) for r in both.collect()} == {("h1", (2.0, 1.0)), ("h2", (0.0,)), (None, ())}
 
 
