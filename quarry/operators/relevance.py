@@ -94,9 +94,10 @@ def _import_only(text: Column) -> Column:
 
 
 def chunk_features(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with what the score needs of a chunk alone: ``said_tokens`` and ``import_only``, made once per chunk."""
+    """``chunks`` with what the score needs of a chunk alone: ``said_tokens``, unless they are there, and ``import_only``, made once per chunk."""
     said = F.concat_ws(" ", "file_path", F.coalesce("symbol_name", F.lit("")), F.coalesce("symbol_type", F.lit("")), F.coalesce("chunk_text", F.lit("")))
-    return chunks.withColumns({"said_tokens": code_tokens(said), "import_only": _import_only(F.coalesce(F.col("chunk_text"), F.lit("")))})
+    made = chunks if "said_tokens" in chunks.columns else chunks.withColumn("said_tokens", code_tokens(said))
+    return made.withColumn("import_only", _import_only(F.coalesce(F.col("chunk_text"), F.lit(""))))
 
 
 def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
@@ -109,7 +110,7 @@ def assessed(pairs: DataFrame, base: str = "score") -> DataFrame:
     path = F.lower("file_path")
     name, text = base_name(path), F.coalesce(F.col("chunk_text"), F.lit(""))
     lower_text, symbol = F.lower(text), normalized_identifier(F.coalesce(F.col("symbol_name"), F.lit("")))
-    df = (pairs if "said_tokens" in pairs.columns else chunk_features(pairs)).withColumns(
+    df = (pairs if "import_only" in pairs.columns else chunk_features(pairs)).withColumns(
         {
             "important_overlap_terms": F.array_sort(F.array_intersect("important_terms", "said_tokens")),
             "identifier_overlap_terms": F.array_sort(F.array_intersect("identifier_terms", "said_tokens")),

@@ -124,7 +124,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", top_
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
     profiles = profiled(chunks)
-    asked = questions.select(*QUERY).where(F.col("repo_id").isNotNull() & F.col("question").isNotNull()).distinct()
+    asked = written(questions.select(*QUERY).where(F.col("repo_id").isNotNull() & F.col("question").isNotNull()).distinct())
     most = pool(top_k)
     legs = {}
     if mode in ("vector", "hybrid"):
@@ -139,8 +139,8 @@ def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", top_
     found = cut_lineage(found.select(*QUERY, "id", "score", "rank"))
     source = f"{mode}+heuristic" if rerank else mode
     if rerank:
-        # questions are analyzed and chunks taken apart once each, before they meet; only scores leave the pairs
-        pooled = chunk_features(_texts_of(chunks, found))
+        # questions are analyzed once each, before they meet chunks; a chunk's tokens are those of its profile; only scores leave the pairs
+        pooled = chunk_features(_texts_of(chunks, found).join(profiles.select("id", F.col("token").alias("said_tokens")), "id"))
         scored = assessed(found.join(pooled, "id").join(written(analyzed(asked)), QUERY)).select(*QUERY, "id", "file_path", "rank", F.col("assessment").alias("score"))
         again = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), "rank")
         found = scored.withColumn("rank", F.row_number().over(again))

@@ -14,6 +14,7 @@ def build_session(app: str = "quarry", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",  # small partitions of texts are much work
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
