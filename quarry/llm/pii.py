@@ -86,26 +86,24 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     seeded = edges.groupBy("label", "instance").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"))
     names = F.col("label") == "name"
     prior = F.when(F.col("seeds") == 0, 0.0).when(names, F.when(F.col("seeds") >= 0.1 * F.col("n"), 1.0).otherwise(0.0)).otherwise(1.0)
-    scores = seeded.select("label", "instance", prior.alias("prior"), prior.alias("score"))
+    scores = cut_lineage(seeded.select("label", "instance", prior.alias("prior"), prior.alias("score")))
+    # patterns with one known instance only say nothing about others
+    worth = F.when(F.col("p_known") >= 2, F.col("p_score")).otherwise(0.0)
     for _ in range(rounds):
-        patterns = (
+        # each step is cut: a plan of several joins costs the driver more than the steps one by one
+        patterns = cut_lineage(
             edges.join(scores, ["label", "instance"])
             .groupBy("label", "pattern")
             .agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + DOUBT)).alias("p_score"), F.count_if(F.col("score") >= KNOWN).alias("p_known"))
         )
-        # patterns with one known instance only say nothing about others
-        worth = F.when(F.col("p_known") >= 2, F.col("p_score")).otherwise(0.0)
+        learnt = cut_lineage(edges.join(patterns, ["label", "pattern"]).groupBy("label", "instance").agg((F.sum(F.col("n") * worth) / F.sum("n")).alias("learnt")))
         scores = cut_lineage(
-            edges.join(patterns, ["label", "pattern"])
-            .groupBy("label", "instance")
-            .agg((F.sum(F.col("n") * worth) / F.sum("n")).alias("learnt"))
-            .join(scores.select("label", "instance", "prior"), ["label", "instance"])
+            learnt.join(scores.select("label", "instance", "prior"), ["label", "instance"])
             .select("label", "instance", "prior", F.greatest("prior", "learnt").alias("score"))
         )
     return scores.select("label", "instance", "score"), patterns
 
 
-
 def _vouched(found: DataFrame, confident: DataFrame, known: DataFrame) -> DataFrame:
     """``found`` of unknown instances in a confident pattern, with ``label, p_score``.
 
@@ -113,17 +111,25 @@ def _vouched(found: DataFrame, confident: DataFrame, known: DataFrame) -> DataFr
     more than half of their mentions.
     """
     mention = ["doc_id", "family", "start", "stop", "label", "instance"]
-    seen = _labelled(found.where((F.col("family") != "email") & ~F.col("instance").endswith("."))).join(known, ["label", "instance"], "left_anti")
+    seen = _labelled(found.where((F.col("family") != "email") & ~F.col("instance").endswith(".")))
     worded = confident.where(F.col("pattern").rlike(r"\p{L}"))
-    held = (
+    held = cut_lineage(
         seen.select(*mention, F.explode("contexts").alias("pattern"))
         .join(worded, ["label", "pattern"])
+        .join(known, ["label", "instance"], "left_anti")
         .groupBy(*mention)
         .agg(F.max("p_score").alias("p_score"))
     )
-    whole = seen.groupBy("label", "instance").agg(F.countDistinct("doc_id", "start", "stop").alias("n"))
-    usual = held.groupBy("label", "instance").agg(F.count(F.lit(1)).alias("n_held")).join(whole, ["label", "instance"]).where(2 * F.col("n_held") >= F.col("n"))
-    return found.join(held.join(usual, ["label", "instance"], "left_semi"), ["doc_id", "family", "start", "stop", "instance"])
+    # the other mentions count only of instances that are held somewhere
+    counted = held.groupBy("label", "instance").agg(F.count(F.lit(1)).alias("n_held"))
+    usual = cut_lineage(
+        seen.select("label", "instance", "doc_id", "start", "stop")
+        .join(counted, ["label", "instance"])
+        .groupBy("label", "instance", "n_held")
+        .agg(F.countDistinct("doc_id", "start", "stop").alias("n"))
+        .where(2 * F.col("n_held") >= F.col("n"))
+    )
+    return cut_lineage(found.join(held.join(usual, ["label", "instance"], "left_semi"), ["doc_id", "family", "start", "stop", "instance"]))
 
 
 def _clear_of(added: DataFrame, kept: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scores, patterns = learn(found, rounds)
     known = cut_lineage(scores.where(F.col("score") >= KNOWN))
     confident = cut_lineage(patterns.where((F.col("p_score") >= CONFIDENT) & (F.col("p_known") >= 2)).select("label", "pattern", F.col("p_score")))
-    vouched = cut_lineage(_vouched(found, confident, known))
+    vouched = _vouched(found, confident, known)
 
     emails = found.where(F.col("family") == "email").select("doc_id", F.lit("email").alias("pii_type"), "start", "stop", "value")
 
@@ -161,7 +167,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .agg(F.max_by(F.struct("label", "stop", "value"), F.struct("p_score", "stop")).alias("b"))
         .select("doc_id", F.col("b.label").alias("pii_type"), "start", "b.stop", "b.value")
     )
-    others = others.unionByName(_clear_of(unseen, others))
+    others = others.unionByName(cut_lineage(_clear_of(unseen, others)))
 
     # names: by given name, else by a confident pattern or, for an initial, a family name that is known
     named = found.where(F.col("family") == "name").withColumn("label", F.lit("name"))
@@ -175,9 +181,9 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.when(F.col("is_long"), F.col("long_stop")).otherwise(F.col("stop")).alias("stop"),
         F.when(F.col("is_long"), F.col("long_value")).otherwise(F.col("value")).alias("value"),
     ]
-    by_given = resolved.select(*chosen, F.when(F.col("is_long"), F.col("long_tail")).otherwise(F.col("tail")).alias("tail"))
+    by_given = cut_lineage(resolved.select(*chosen, F.when(F.col("is_long"), F.col("long_tail")).otherwise(F.col("tail")).alias("tail")))
     families = by_given.select("tail").where(F.length("tail") >= 5).distinct().withColumn("tail_known", F.lit(True))
-    initials = named.where(F.col("instance").endswith(".")).join(middles, "middle", "left").where(F.col("middle_known").isNull()).drop("middle_known")
+    initials = cut_lineage(named.where(F.col("instance").endswith(".")).join(middles, "middle", "left_anti"))
     in_pattern = (
         initials.select("doc_id", "start", F.explode("contexts").alias("pattern"))
         .join(confident.where(F.col("label") == "name").select("pattern"), "pattern", "left_semi")
@@ -192,7 +198,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select(*chosen)
     )
     certain = cut_lineage(by_given.drop("tail").unionByName(by_initial))
-    by_pattern = vouched.where(F.col("family") == "name").join(middles, "middle", "left").withColumn("is_long", is_long).select(*chosen).distinct()
+    by_pattern = cut_lineage(vouched.where(F.col("family") == "name").join(middles, "middle", "left").withColumn("is_long", is_long).select(*chosen).distinct())
     # within one run of capitalized words: from the left, each name that begins after the one before has ended
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     apart = F.aggregate("all", none, lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["stop"]), F.array_append(kept, x)).otherwise(kept))

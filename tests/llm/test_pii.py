@@ -1,3 +1,5 @@
+import re
+
 from quarry.llm import pii
 from quarry.llm.piiscan import scan
 
@@ -80,3 +82,18 @@ def test_long_house_numbers_and_addresses_of_mail_far_away():
     assert [(r[0], r[5], r[11]) for r in rows if r[0] == "address"] == [("address", "heronlane", "address"), ("address", "reiherstrasse", "address")]
     far = "Mira Velhart wrote this. " + "It says nothing at all. " * 60 + "Write to mira.velhart@example.org about it."
     assert [r[11] for r in scan(far) if r[0] == "name" and r[5] == "mira"] == ["name"]
+
+
+def test_no_plan_of_the_driver_is_large(spark):
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    plans = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        listed = plans.executionsList()
+        return {e.executionId(): e for e in map(listed.apply, range(listed.size()))}
+
+    before = max(executions(), default=-1)
+    assert pii.personal_data(docs).count() > 0
+    sizes = [len(re.findall(r"(?m)^\(\d+\) ", e.physicalPlanDescription())) for k, e in executions().items() if k > before]
+    # each finished stage plans the rest of its query anew: the driver's memory follows the largest plan
+    assert len(sizes) > 5 and max(sizes) <= 120, sizes
